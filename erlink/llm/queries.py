@@ -22,7 +22,7 @@ _WHERE = {
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return getattr(importlib.import_module(f"erlink.llm.{_WHERE[name]}"), name)
+    return lambda spark, sf_dir: getattr(importlib.import_module(f"erlink.llm.{_WHERE[name]}"), name)(spark, sf_dir)
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
