@@ -52,6 +52,7 @@ class Words:
     end: np.ndarray
     doc: np.ndarray
     first: np.ndarray  # len(docs) + 1 offsets into the words
+    edge: np.ndarray  # len(docs) + 1 offsets into the bytes; a separator ends each text
 
 
 def join_bytes(texts, sep: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +79,7 @@ def split_words(texts, is_word: np.ndarray, lower: bool) -> Words:
     start, end = edge[0::2], edge[1::2]  # the last byte is a separator, so runs are closed
     first = np.searchsorted(start, at).astype(np.int64)
     doc = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(first))
-    return Words(data, start, end, doc, first)
+    return Words(data, start, end, doc, first, at)
 
 
 def word_hashes(w: Words, block: int = 1 << 21) -> np.ndarray:
