@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +45,7 @@ def n_buckets(spark: SparkSession) -> int:
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts of a batch with at most ``limit`` text bytes (or a single row) each."""
     col = batch.column(batch.schema.get_field_index(text))
-    size = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     total = np.cumsum(size)
     while at < batch.num_rows:
