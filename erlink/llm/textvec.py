@@ -110,11 +110,20 @@ def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` consecutive word hashes (len(h) - n + 1 of them), order-sensitive."""
     if len(h) < n:
         return np.empty(0, dtype=np.uint64)
-    m = len(h) - n + 1
-    out = np.zeros(m, dtype=np.uint64)
-    for k in range(n):
-        out = out * _MUL + h[k : k + m]
-    return mix(out)
+    out, size, power, have, width = h, 1, _MUL, None, 0  # sums over `size` words; `have` sums over `width` of them
+    while n:
+        if n & 1:
+            if have is None:
+                have = out
+            else:  # `have` first, then `out`
+                m = len(h) - width - size + 1
+                have = have[:m] * power + out[width : width + m]
+            width += size
+        n >>= 1
+        if n:
+            m = len(out) - size
+            out, size, power = out[:m] * power + out[size:], 2 * size, power * power
+    return mix(have)
 
 
 def inside_documents(w: Words, n: int) -> np.ndarray:
