@@ -26,9 +26,9 @@ class _Blocked(Passages):
         return self.docs.join(F.broadcast(i), self.docs["text"].contains(F.col("t"))).select(F.concat(F.lit("S1-"), F.col("item_id")).alias("s1_id"), F.concat(F.when(F.col("doc_id") % 2 == 0, "S2-").otherwise("S3-"), F.col("doc_id")).alias("cand_id"))
 
 
-@query(f"WITH {PASSAGES} SELECT token, df, idf FROM idf")
+@query(f"WITH {PASSAGES} SELECT token, df, CAST(floor(1e6 * idf + 0.5e0) AS BIGINT) AS idf FROM idf")
 def q_token_idf(spark, sf):
-    return _Blocked(spark, sf).idf
+    return _Blocked(spark, sf).idf.withColumn("idf", metrics.quantised(F.col("idf")))
 
 
 @query(f"WITH {PASSAGES},{keys_sql('cands')} SELECT entity_id, pass_id, key, CAST(block_score AS DOUBLE) AS block_score FROM cands_keys")
@@ -181,9 +181,9 @@ def _part_texts(spark, sf):
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.col("p_name").alias("text"))
 
 
-@query(f"WITH {_TEXTS}, {_IDF} SELECT gram, df, idf FROM gi")
+@query(f"WITH {_TEXTS}, {_IDF} SELECT gram, df, CAST(floor(1e6 * idf + 0.5e0) AS BIGINT) AS idf FROM gi")
 def q_char_idf(spark, sf):
-    return features.fit_char_idf(_part_texts(spark, sf))
+    return features.fit_char_idf(_part_texts(spark, sf)).withColumn("idf", metrics.quantised(F.col("idf")))
 
 
 @query(f"WITH {_TEXTS}, {_IDF} SELECT count(*) AS n_grams, CAST(sum(('0x' || substring(sha1(gram), 1, 8))::BIGINT) AS BIGINT) AS digest FROM gi")

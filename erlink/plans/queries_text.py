@@ -18,9 +18,9 @@ def q_clean_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.clean_chars(F.lower(F.substring("text", 1, 200))).alias("cleaned"))
 
 
-@query("SELECT p_partkey, list_filter(string_split(lower(p_name), ' '), lambda t: length(t) > 1 AND t NOT IN ('the','and','of','for','at','in','on','a','an','to','co')) AS tokens FROM part")
+@query("SELECT p_partkey, array_to_string(list_filter(string_split(lower(p_name), ' '), lambda t: length(t) > 1 AND t NOT IN ('the','and','of','for','at','in','on','a','an','to','co')), ' ') AS tokens FROM part")
 def q_tokens(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", text.name_tokens(F.lower("p_name")).alias("tokens"))
+    return read(spark, sf, "part").select("p_partkey", F.array_join(text.name_tokens(F.lower("p_name")), " ").alias("tokens"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split({_CLEAN.format('lower(substring(text, 1, 200))')}, ' '), lambda t: t <> ''))), ' ') AS tokens FROM documents")

@@ -3,11 +3,20 @@
 from pyspark.sql import functions as F
 
 from erlink.operators import ann
+from erlink.operators.metrics import quantised
 from erlink.plans.linkage import Config, link
 from erlink.plans.registry import query
 from erlink.plans.roles import Passages, read
 
 K = 5
+# scores are compared in millionths: engines add up products in different orders
+_Q = "CAST(floor(1e6 * {0} + 0.5e0) AS BIGINT) AS {0}"
+
+
+def _in_millionths(df, *names):
+    return df.withColumns({n: quantised(F.col(n)) for n in names})
+
+
 _UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / CASE WHEN sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) = 0 THEN 1e0 ELSE sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) END)"
 _VECTORS = f"v AS (SELECT vec_id, label, {_UNIT} AS u FROM embeddings)"
 _TOP = f"""{_VECTORS}, sc AS (SELECT 'S1-' || a.vec_id AS s1_id, 'S2-' || b.vec_id AS cand_id, list_dot_product(a.u, b.u) AS score FROM v a JOIN v b ON a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
@@ -30,27 +39,27 @@ class _Vectors:
         self.addr = self.ann.where("rank < 3").withColumn("channel", F.lit("addr"))
 
 
-@query(f"WITH {_VECTORS} SELECT vec_id, u AS unit FROM v")
+@query(f"WITH {_VECTORS} SELECT vec_id, array_to_string(list_transform(u, lambda x: CAST(floor(1e6 * x + 0.5e0) AS BIGINT)), ',') AS unit FROM v")
 def q_l2_norm(spark, sf):
-    return read(spark, sf, "embeddings").select("vec_id", ann.l2_normalize(F.col("embedding")).alias("unit"))
+    return read(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform(ann.l2_normalize(F.col("embedding")), lambda x: quantised(x).cast("string")), ",").alias("unit"))
 
 
-@query(f"WITH {_TOP} SELECT s1_id, cand_id, score, rank, channel FROM ann")
+@query(f"WITH {_TOP} SELECT s1_id, cand_id, {_Q.format('score')}, rank, channel FROM ann")
 def q_flat_topk(spark, sf):
-    return _Vectors(spark, sf).ann
+    return _in_millionths(_Vectors(spark, sf).ann, "score")
 
 
-@query(f"WITH {_TOP}, {_TRUTH} SELECT t.s1_id, t.cand_id, score AS cosine FROM truth t JOIN sc USING (s1_id, cand_id)")
+@query(f"WITH {_TOP}, {_TRUTH} SELECT t.s1_id, t.cand_id, CAST(floor(1e6 * score + 0.5e0) AS BIGINT) AS cosine FROM truth t JOIN sc USING (s1_id, cand_id)")
 def q_pair_cosine(spark, sf):
     v = _Vectors(spark, sf)
-    return ann.pair_cosine(v.truth, v.q.select("id", "embedding").unionByName(v.c.select("id", "embedding")))
+    return _in_millionths(ann.pair_cosine(v.truth, v.q.select("id", "embedding").unionByName(v.c.select("id", "embedding"))), "cosine")
 
 
 @query(f"""WITH {_TOP}, {_TRUTH}, {_LEX}, u AS (SELECT s1_id, cand_id, 11 AS pass_id, score AS block_score FROM ann UNION ALL SELECT s1_id, cand_id, 12, score FROM ann WHERE rank < 3 UNION ALL SELECT s1_id, cand_id, pass_id, block_score FROM lex)
-SELECT s1_id, cand_id, CAST(pass_id AS INT) AS pass_id, block_score, starts_with(cand_id, 'S2-') AS is_s2 FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, cand_id ORDER BY pass_id, block_score DESC) AS rn FROM u) WHERE rn = 1""")
+SELECT s1_id, cand_id, CAST(pass_id AS INT) AS pass_id, {_Q.format('block_score')}, starts_with(cand_id, 'S2-') AS is_s2 FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, cand_id ORDER BY pass_id, block_score DESC) AS rn FROM u) WHERE rn = 1""")
 def q_union_lexical(spark, sf):
     v = _Vectors(spark, sf)
-    return ann.union_with_lexical(v.ann.unionByName(v.addr), v.lex)
+    return _in_millionths(ann.union_with_lexical(v.ann.unionByName(v.addr), v.lex), "block_score")
 
 
 @query(f"""WITH {_TOP}, {_TRUTH}, {_LEX}, m AS (SELECT t.*, l.s1_id IS NOT NULL AS lex, a.s1_id IS NOT NULL AS n, b.s1_id IS NOT NULL AS d FROM truth t LEFT JOIN lex l USING (s1_id, cand_id) LEFT JOIN ann a USING (s1_id, cand_id) LEFT JOIN (SELECT * FROM ann WHERE rank < 3) b USING (s1_id, cand_id))
@@ -77,17 +86,17 @@ def q_recall_curve(spark, sf):
 _CH = "ch AS (SELECT s1_id, cand_id, min(p) AS ann_pass, min(rank) AS ret_rank, max(score) AS ret_score, count(DISTINCT p) AS ret_channel_count FROM (SELECT *, 11 AS p FROM ann UNION ALL SELECT *, 12 FROM ann WHERE rank < 3) GROUP BY 1, 2)"
 
 
-@query(f"WITH {_TOP}, {_CH} SELECT s1_id, cand_id, ann_pass, ret_rank, ret_score, ret_channel_count FROM ch")
+@query(f"WITH {_TOP}, {_CH} SELECT s1_id, cand_id, ann_pass, ret_rank, {_Q.format('ret_score')}, ret_channel_count FROM ch")
 def q_channel_pairs(spark, sf):
     v = _Vectors(spark, sf)
-    return ann.channel_pairs(v.ann.unionByName(v.addr))
+    return _in_millionths(ann.channel_pairs(v.ann.unionByName(v.addr)), "ret_score")
 
 
 @query(f"""WITH {_TOP}, {_TRUTH}, {_LEX}, {_CH}, h AS (SELECT s1_id, cand_id, coalesce(CAST(pass_id AS INT), ann_pass) AS pass_id, coalesce(block_score, ret_score) AS block_score, coalesce(ret_rank, -1) AS ret_rank, coalesce(ret_score, 0e0) AS ret_score, coalesce(ret_channel_count, 0) AS ret_channel_count,
-CAST(CASE WHEN pass_id IS NULL THEN 0 ELSE 1 END AS INT) AS has_lex FROM lex FULL JOIN ch USING (s1_id, cand_id)) SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY has_lex DESC, ret_score DESC, pass_id, cand_id) AS rn FROM h) WHERE rn <= 4""")
+CAST(CASE WHEN pass_id IS NULL THEN 0 ELSE 1 END AS INT) AS has_lex FROM lex FULL JOIN ch USING (s1_id, cand_id)) SELECT * EXCLUDE (rn) REPLACE ({_Q.format('block_score').rsplit(' AS ', 1)[0]} AS block_score, {_Q.format('ret_score').rsplit(' AS ', 1)[0]} AS ret_score) FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY has_lex DESC, ret_score DESC, pass_id, cand_id) AS rn FROM h) WHERE rn <= 4""")
 def q_hybrid(spark, sf):
     v = _Vectors(spark, sf)
-    return ann.hybrid(v.lex, v.ann.unionByName(v.addr), 4)
+    return _in_millionths(ann.hybrid(v.lex, v.ann.unionByName(v.addr), 4), "block_score", "ret_score")
 
 
 @query()
