@@ -183,7 +183,7 @@ def find(texts, win: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     known = symbol > 0
     starts_run = known & np.concatenate([[True], ~known[:-1] | (w.doc[1:] != w.doc[:-1])])
     run = np.cumsum(starts_run) - 1
-    size = np.bincount(run[known], minlength=int(run[-1]) + 1 if total else 0)
+    size = np.bincount(run[known], minlength=max(1, int(run[-1]) + 1))
     keep = np.flatnonzero(known & (size[np.maximum(run, 0)] >= win.shortest))
     if not len(keep):
         return np.diff(w.first), flags, w.first, none

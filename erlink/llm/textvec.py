@@ -122,7 +122,7 @@ def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
         n >>= 1
         if n:
             m = len(out) - size
-            out, size, power = out[:m] * power + out[size:], 2 * size, power * power
+            out, size, power = out[:m] * power + out[size:], 2 * size, np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF)
     return mix(have)
 
 
