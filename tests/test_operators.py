@@ -218,3 +218,18 @@ def test_linear_score_and_trees(spark):
     rows = [(f"s{i % 60}", f"c{i}", y := int(rng.random() < 0.5), y * 0.6 + rng.random() * 0.5) for i in range(400)]
     fitted, report = model.train_trees(spark.createDataFrame(rows, "s1_id string, cand_id string, label int, f double"), ["f"], trees=3, depth=2)
     assert report.first()["auc"] > 0.8 and fitted.numFeatures == 1
+
+
+def test_all_features(spark):
+    s1 = records(spark, [("S1-1", "best bakery", "10", "78701", "texas", ["main"])])
+    cands = records(spark, [("S2-1", "best bakery", "10", "78701", "texas", ["main"]), ("S3-2", "iron works", "", "", "", [])])
+    extra = lambda r: r.select("*", F.col("name_norm").alias("name_fold"), F.col("name_norm").alias("name_roman"), F.col("name_norm").alias("addr_norm"), F.lit(False).alias("addr_raw_missing"), F.lit(True).alias("landmark_flag"), F.lit("us").alias("country"))
+    s1, cands = extra(s1), extra(cands)
+    p = spark.createDataFrame([("S1-1", "S2-1", 1, 1.0, True), ("S1-1", "S3-2", 3, 4.5, False)], "s1_id string, cand_id string, pass_id int, block_score double, is_s2 boolean")
+    idf = features.fit_char_idf(cands.select(F.col("name_norm").alias("text")))
+    out = features.all_features(p, s1, cands, idf)
+    assert out.columns == ["s1_id", "cand_id", *features.FEATURES]
+    got = {r["cand_id"]: r for r in out.collect()}
+    same, other = got["S2-1"], got["S3-2"]
+    assert same["name_ratio"] == 100 and same["name_char3_cos"] == pytest.approx(1.0) and same["house_match"] == 1 and same["s1_degree"] == 2
+    assert other["name_char3_cos"] == 0.0 and other["name_jaccard"] == 0 and other["name_e5_cos"] == -1.0 and same["name_wratio"] == 100
