@@ -21,7 +21,7 @@ tables lie, and no table is ever in one place.
 Words that hold a large share of the tokens (``heavy``; a bounded number) are
 counted beforehand and dealt by pair, so that no partition gets them whole.
 
-Words are known by 64-bit hashes.  Defined cases: null text counts as empty
+Words are known by ``BITS``-bit codes.  Defined cases: null text counts as empty
 (one token, the end); a null doc_id trains; repeated rows count and are scored
 each; without training rows every token is the unknown word, of probability 1;
 very long texts are a batch of their own; an empty table gives no rows; other
@@ -44,7 +44,11 @@ from erlink.llm.textvec import NON_SPACE, mix, split_words, word_hashes
 K = 5
 EPSILON = 0.01
 BATCH_BYTES = 12 << 20
-END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Bits of a word's code: its hash without the lowest 12.  Two of n words share a code with a chance of about n * n / 2**53.
+BITS = 52
+END, START = (np.uint64(x >> 64 - BITS) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+#: Entries that a partition counts at a time.
+PART = 600_000
 _SCALE = 1e8  # sums of logarithms travel as integers of this unit
 _FLOW = "kind int, bucket int, batch bigint, parts array<binary>"
 _DOCS, _PAIRS, _SUMS, _CONTEXTS, _UNSEEN, _COUNTS = range(6)
@@ -84,7 +88,7 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(w.first) - 1
     doc = np.concatenate([w.doc, np.arange(n, dtype=np.int32)])
     order = np.argsort(doc, kind="stable")  # each end goes behind its document's words
-    word = np.concatenate([word_hashes(w), np.full(n, END)])[order]
+    word = np.concatenate([word_hashes(w) >> np.uint64(64 - BITS), np.full(n, END)])[order]
     doc = doc[order]
     context = np.empty_like(word)
     context[1:] = word[:-1]
@@ -113,27 +117,24 @@ def _send(batch: pa.RecordBatch, number: int, buckets: int, heavy: np.ndarray):
         a, b = cut[k], cut[k + 1]
         if a < b:
             own, local = np.unique(context[a:b], return_inverse=True)
-            flags = np.packbits(held).tobytes()
-            yield (_PAIRS, k, number, [pack_sorted(word[a:b]), pack_sorted(own), pack(local), pack(doc[a:b]), pack(times[a:b]), flags, len(held).to_bytes(4, "little")])
+            yield (_PAIRS, k, number, [pack_sorted(word[a:b]), pack_sorted(own), pack(local), pack(doc[a:b] << 1 | held[doc[a:b]]), pack(times[a:b])])
 
 
-def _count(rows: list[tuple[int, list[bytes]]], bucket: int, buckets: int, heavy: np.ndarray, heavy_count: np.ndarray):
-    """What one partition finds out about its words; see the module's text."""
-    word, context, doc, times, train, base, sizes = [], [], [], [], [], 0, []
-    for _, p in rows:
-        d = unpack(p[3]).astype(np.int64)
-        n = int.from_bytes(p[6], "little")
-        held = np.unpackbits(np.frombuffer(p[5], dtype=np.uint8), count=n).astype(bool)
-        word.append(unpack_sorted(p[0]))
-        context.append(unpack_sorted(p[1])[unpack(p[2]).astype(np.int64)])
-        doc.append((d + base).astype(np.int32))
-        times.append(unpack(p[4]).astype(np.int32))
-        train.append(~held[d])
-        base += n
-        sizes.append(n)
-    word, context, doc, times, train = (np.concatenate(x) for x in (word, context, doc, times, train))
+def _reduced(key: np.ndarray, fields: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct keys, sums of the fields' columns over each)."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first, _ = _runs(key)
+    return key[first], np.add.reduceat(fields[:, order], first, axis=1) if len(first) else fields
+
+
+def _count_part(word, context, source, times, train, heavy: np.ndarray, heavy_count: np.ndarray):
+    """(statistics, (documents, sums), (contexts, successor numbers), unseen (context, document, times)) of all entries of some words.
+
+    ``source`` is batch index << 32 | document.
+    """
     order = np.lexsort((context, word))
-    word, context, doc, times, train = word[order], context[order], doc[order], times[order], train[order]
+    word, context, source, times, train = word[order], context[order], source[order], times[order], train[order]
     taught = times * train
     pair_first, pair = _runs(word, context)
     pair_count = _sum(taught, pair, len(pair_first)).astype(np.int64)
@@ -147,54 +148,73 @@ def _count(rows: list[tuple[int, list[bytes]]], bucket: int, buckets: int, heavy
     light = word_count[~known_heavy]
     light = light[light > 0]
     seen_pairs = pair_count[pair_count > 0]
-    yield (_COUNTS, bucket, -1, [np.array([light.sum(), len(light), *np.bincount(_class(light), minlength=K + 3)[: K + 2], *np.bincount(seen_pairs[seen_pairs <= K + 1], minlength=K + 3)[: K + 2], (light == K + 1).sum()], dtype="<i8").tobytes()])
+    stats = np.array([light.sum(), len(light), *np.bincount(_class(light), minlength=K + 3)[: K + 2], *np.bincount(seen_pairs[seen_pairs <= K + 1], minlength=K + 3)[: K + 2], (light == K + 1).sum()], dtype=np.int64)
     # sums per document
     cw, cp = word_count[of_word], pair_count[pair]
     seen, w_class, p_class = cp > 0, _class(cw), _class(cp)
-    with np.errstate(divide="ignore"):
-        log_word, big_word, big_pair = np.log10(np.maximum(cw, 1)), np.log10(np.maximum(cw - EPSILON, 1)), np.log10(np.maximum(cp - EPSILON, 1))
-    plus = np.where(seen, np.where(p_class > K, big_pair, 0.0), np.where(w_class > K, big_word, 0.0)) * times
+    big_word, big_pair = np.log10(np.maximum(cw - EPSILON, 1)), np.log10(np.maximum(cp - EPSILON, 1))
     fields = [
-        _sum(times * (cw > 0), doc, base),
-        _sum(times * np.log10(cw + 1.0), doc, base) * _SCALE,
-        _sum(plus, doc, base) * _SCALE,
-        _sum(times * log_word * (word != END), doc, base) * _SCALE,
-        *(_sum(times * (seen & (p_class == r)), doc, base) for r in range(1, K + 1)),
-        *(_sum(times * (~seen & (w_class == r)), doc, base) for r in range(K + 2)),
+        times * (cw > 0),
+        times * np.log10(cw + 1.0) * _SCALE,
+        np.where(seen, np.where(p_class > K, big_pair, 0.0), np.where(w_class > K, big_word, 0.0)) * times * _SCALE,
+        times * np.log10(np.maximum(cw, 1)) * (word != END) * _SCALE,
+        *(times * (seen & (p_class == r)) for r in range(1, K + 1)),
+        *(times * (~seen & (w_class == r)) for r in range(K + 2)),
     ]
-    fields = [np.rint(f).astype(np.uint64) for f in fields]
-    at = 0
-    for (number, _), n in zip(rows, sizes):
-        yield (_SUMS, bucket, number, [pack(f[at : at + n]) for f in fields])
-        at += n
+    sums = _reduced(source, np.stack(fields))
     # successors of each context, by class of the pair and of the word
     live = np.flatnonzero(pair_count > 0)
-    v, r, c = context[pair_first[live]], pair_count[live], word_count[of_word[pair_first[live]]]
-    order = np.lexsort((v, _bucket(v, buckets)))
-    v, r, c = v[order], r[order], c[order]
-    if len(v):
-        first, run = _runs(v)
-        n = len(first)
-        r_class, c_class = _class(r), _class(c)
-        stats = [*(_sum(r_class == x, run, n) for x in range(1, K + 2)), _sum(np.where(r_class > K, r, 0), run, n), *(_sum(c_class == x, run, n) for x in range(1, K + 2)), _sum(np.where(c_class > K, c, 0), run, n)]
-        v = v[first]
-        cut = np.searchsorted(_bucket(v, buckets), np.arange(buckets + 1))
-        for k in range(buckets):
-            a, b = cut[k], cut[k + 1]
-            if a < b:
-                yield (_CONTEXTS, k, bucket, [pack_sorted(v[a:b]), *(pack(s[a:b].astype(np.uint64)) for s in stats)])
-    # pairs that training hasn't seen, for the partitions of their contexts
+    r, c = pair_count[live], word_count[of_word[pair_first[live]]]
+    numbers = [*(_class(r) == x for x in range(1, K + 2)), np.where(r > K, r, 0), *(_class(c) == x for x in range(1, K + 2)), np.where(c > K, c, 0)]
+    contexts = _reduced(context[pair_first[live]], np.stack(numbers).astype(np.int64))
     miss = np.flatnonzero(~seen)
-    if len(miss):
-        edge = np.concatenate([[0], np.cumsum(sizes)])
-        to = _bucket(context[miss], buckets)
-        source = np.searchsorted(edge, doc[miss], side="right") - 1
-        order = np.lexsort((context[miss], source, to))
-        miss, to, source = miss[order], to[order], source[order]
-        first, _ = _runs(to, source)
-        for a, b in zip(first, np.append(first[1:], len(miss))):
-            x, s = miss[a:b], source[a]
-            yield (_UNSEEN, int(to[a]), rows[s][0], [pack_sorted(context[x]), pack(doc[x] - edge[s]), pack(times[x]), int(sizes[s]).to_bytes(4, "little")])
+    return stats, sums, contexts, (context[miss], source[miss], times[miss])
+
+
+def _count(rows: list[tuple[int, list[bytes]]], bucket: int, buckets: int, heavy: np.ndarray, heavy_count: np.ndarray):
+    """What one partition finds out about its words; see the module's text."""
+    rows.sort(key=lambda x: x[0])
+    batches = np.array([b for b, _ in rows], dtype=np.int64)
+    word = [unpack_sorted(p[0]) for _, p in rows]
+    parts = -(-sum(map(len, word)) // PART)
+    edges = [int((1 << BITS) * k // parts) for k in range(1, parts)]
+    cuts = [[0, *np.searchsorted(w, np.array(edges, dtype=np.uint64)).tolist(), len(w)] for w in word]
+    context = [unpack_sorted(p[1])[unpack(p[2]).astype(np.int64)] for _, p in rows]
+    doc = [unpack(p[3]).astype(np.uint32) for _, p in rows]
+    times = [unpack(p[4]).astype(np.int32) for _, p in rows]
+    found = []
+    for k in range(parts):
+        of = lambda x: np.concatenate([a[c[k] : c[k + 1]] for a, c in zip(x, cuts)])  # noqa: E731, B023
+        d = of(doc)
+        batch = np.repeat(np.arange(len(rows), dtype=np.int64), [c[k + 1] - c[k] for c in cuts])
+        found.append(_count_part(of(word), of(context), batch << 32 | (d >> 1), of(times), (d & 1) == 0, heavy, heavy_count))
+    yield (_COUNTS, bucket, -1, [sum(f[0] for f in found).astype("<i8").tobytes()])
+    source, sums = _reduced(np.concatenate([f[1][0] for f in found]), np.concatenate([f[1][1] for f in found], axis=1))
+    sums = np.rint(sums).astype(np.uint64)
+    cut = np.searchsorted(source, np.arange(len(rows) + 1) << 32)
+    for k in range(len(rows)):
+        s = slice(cut[k], cut[k + 1])
+        if cut[k] < cut[k + 1]:
+            yield (_SUMS, bucket, int(batches[k]), [pack_sorted(source[s] & 0xFFFFFFFF), *(pack(f[s]) for f in sums)])
+    v, numbers = _reduced(np.concatenate([f[2][0] for f in found]), np.concatenate([f[2][1] for f in found], axis=1))
+    to = _bucket(v, buckets)
+    order = np.argsort(to, kind="stable")
+    v, numbers = v[order], numbers[:, order].astype(np.uint64)
+    cut = np.searchsorted(to[order], np.arange(buckets + 1))
+    for k in range(buckets):
+        if cut[k] < cut[k + 1]:
+            s = slice(cut[k], cut[k + 1])
+            yield (_CONTEXTS, k, bucket, [pack_sorted(v[s]), *(pack(x[s]) for x in numbers)])
+    # pairs that training hasn't seen, for the partitions of their contexts
+    context, source, times = (np.concatenate([f[3][i] for f in found]) for i in range(3))
+    to = _bucket(context, buckets)
+    order = np.lexsort((source, context, to))
+    context, source, times = context[order], source[order], times[order]
+    cut = np.searchsorted(to[order], np.arange(buckets + 1))
+    for k in range(buckets):
+        if cut[k] < cut[k + 1]:
+            s = slice(cut[k], cut[k + 1])
+            yield (_UNSEEN, k, bucket, [pack_sorted(context[s]), pack(source[s] >> 32), pack(source[s] & 0xFFFFFFFF), pack(times[s]), batches.astype("<i8").tobytes()])
 
 
 @dataclass
@@ -232,27 +252,28 @@ def _weights(d: Discounts, stats: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
 
 
 def _back_off(rows: list, d: Discounts, number_of: int):
-    """Sums per document of log10(c(v) bow(v)) over the unseen pairs whose contexts lie in this partition."""
-    asked = [(b, p) for kind, b, p in rows if kind == _UNSEEN]
-    if not asked:
+    """Per batch the documents' sums of log10(c(v) bow(v)) over the unseen pairs whose contexts lie in this partition."""
+    asked = [p for kind, p in rows if kind == _UNSEEN]
+    tables = [p for kind, p in rows if kind == _CONTEXTS]
+    if not asked or not tables:
         return
-    tables = [p for kind, _, p in rows if kind == _CONTEXTS]
-    if tables:
-        v = np.concatenate([unpack_sorted(p[0]) for p in tables])
-        order = np.argsort(v, kind="stable")
-        v = v[order]
-        first, run = _runs(v)
-        stats = [_sum(np.concatenate([unpack(p[k]) for p in tables]).astype(np.float64)[order], run, len(first)) for k in range(1, len(tables[0]))]
-        v = v[first]
-        value = np.log10(_weights(d, stats)[1])
-    for batch, p in asked:
-        context, doc, times = unpack_sorted(p[0]), unpack(p[1]).astype(np.int64), unpack(p[2]).astype(np.float64)
-        out = np.zeros(int.from_bytes(p[3], "little"))
-        if tables:
-            at = np.minimum(np.searchsorted(v, context), len(v) - 1)
-            out += _sum(np.where(v[at] == context, value[at], 0.0) * times, doc, len(out))
-        if out.any():
-            yield (_UNSEEN, number_of, batch, [out.astype("<f8").tobytes()])
+    v, stats = _reduced(np.concatenate([unpack_sorted(p[0]) for p in tables]), np.stack([np.concatenate([unpack(p[k]) for p in tables]) for k in range(1, len(tables[0]))]).astype(np.float64))
+    value = np.log10(_weights(d, list(stats))[1])
+    batch, doc, total = [], [], []
+    for p in asked:
+        context = unpack_sorted(p[0])
+        at = np.minimum(np.searchsorted(v, context), len(v) - 1)
+        known = v[at] == context  # a context that training hasn't seen backs off with weight 1
+        batch.append(np.frombuffer(p[4], dtype="<i8")[unpack(p[1]).astype(np.int64)][known])
+        doc.append(unpack(p[2])[known].astype(np.int64))
+        total.append((value[at] * unpack(p[3]))[known])
+    batch, doc, total = np.concatenate(batch), np.concatenate(doc), np.concatenate(total)
+    order = np.argsort(batch, kind="stable")
+    batch, doc, total = batch[order], doc[order], total[order]
+    first, _ = _runs(batch)
+    for a, b in zip(first, np.append(first[1:], len(batch))):
+        docs, sums = _reduced(doc[a:b], total[None, a:b])
+        yield (_UNSEEN, number_of, int(batch[a]), [pack_sorted(docs), sums[0].astype("<f8").tobytes()])
 
 
 def _finish(rows: list, d: Discounts):
@@ -264,9 +285,9 @@ def _finish(rows: list, d: Discounts):
     back = np.zeros(len(ids))
     for kind, p in rows:
         if kind == _SUMS:
-            total += np.stack([unpack(x).astype(np.float64) for x in p])
+            total[:, unpack_sorted(p[0]).astype(np.int64)] += np.stack([unpack(x).astype(np.float64) for x in p[1:]])
         elif kind == _UNSEEN:
-            back += np.frombuffer(p[0], dtype="<f8")
+            back[unpack_sorted(p[0]).astype(np.int64)] += np.frombuffer(p[1], dtype="<f8")
     known, base, plus, minus = total[0], total[1] / _SCALE, total[2] / _SCALE, total[3] / _SCALE
     log_n = np.log10(max(d.tokens, 1))
     word = np.concatenate([[np.log10(d.unknown)], np.log10(d.word) - log_n, [-log_n]])
@@ -344,7 +365,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         rows, number_of = [], 0
         for batch in batches:
             for r in batch.to_pylist():
-                rows.append((r["kind"], r["batch"], r["parts"]))
+                rows.append((r["kind"], r["parts"]))
                 number_of = r["bucket"]
         yield from (_flow([x]) for x in _back_off(rows, d, number_of))
 
