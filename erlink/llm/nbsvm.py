@@ -57,7 +57,7 @@ def indicators(texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 
 def log_ratios(offsets: np.ndarray, features: np.ndarray, y: np.ndarray, size: int, alpha: float = 1.0) -> np.ndarray:
     """log((p / |p|) / (q / |q|)) of the smoothed class counts p (label 1) and q (label 0) of each indicator."""
-    row = np.repeat(y, np.diff(offsets))
+    row = np.repeat(y.astype(np.int8), np.diff(offsets))
     p = np.bincount(features[row == 1], minlength=size) + alpha
     q = np.bincount(features[row == 0], minlength=size) + alpha
     return np.log(p / p.sum()) - np.log(q / q.sum())
@@ -136,6 +136,8 @@ def fit(offsets: np.ndarray, features: np.ndarray, y: np.ndarray, bits: int = BI
         return Model(zero, zero, 0.0, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), bits)
 
     def part(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if keep.all():
+            return offsets, features, y
         length = np.diff(offsets)[keep]
         taken = np.repeat(keep, np.diff(offsets))
         return np.concatenate([[0], np.cumsum(length)]), features[taken], y[keep]
@@ -174,10 +176,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     got = map_text(rows, "text", sets, "doc_id bigint, y int, features binary")
     # repeated ids and rows take part once, so that the sample stays bounded
     got = got.groupBy("doc_id").agg(F.min(F.struct("y", "features")).alias("r")).select("doc_id", "r.y", "r.features").toArrow().sort_by("doc_id")
+    y = np.array(got.column("y").to_pylist(), dtype=np.int64)
     parts = [np.frombuffer(b, dtype="<i4") for b in got.column("features").to_pylist()]
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
-    features = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, dtype=np.int64)
-    return fit(offsets, features, np.array(got.column("y").to_pylist(), dtype=np.int64), bits)
+    features = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+    del got, parts
+    return fit(offsets, features, y, bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
