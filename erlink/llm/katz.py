@@ -49,7 +49,7 @@ BITS = 52
 END, START = (np.uint64(x >> 64 - BITS) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 #: Entries that a partition counts at a time.
 PART = 600_000
-_SCALE = 1e8  # sums of logarithms travel as integers of this unit
+_BASE, _SCORE = 1e8, 1e6  # sums of logarithms travel as integers of these units
 _FLOW = "kind int, bucket int, batch bigint, parts array<binary>"
 _DOCS, _PAIRS, _SUMS, _CONTEXTS, _UNSEEN, _COUNTS = range(6)
 
@@ -155,9 +155,8 @@ def _count_part(word, context, source, times, train, heavy: np.ndarray, heavy_co
     big_word, big_pair = np.log10(np.maximum(cw - EPSILON, 1)), np.log10(np.maximum(cp - EPSILON, 1))
     fields = [
         times * (cw > 0),
-        times * np.log10(cw + 1.0) * _SCALE,
-        np.where(seen, np.where(p_class > K, big_pair, 0.0), np.where(w_class > K, big_word, 0.0)) * times * _SCALE,
-        times * np.log10(np.maximum(cw, 1)) * (word != END) * _SCALE,
+        times * np.log10(cw + 1.0) * _BASE,
+        times * (np.where(seen, np.where(p_class > K, big_pair, 0.0), np.where(w_class > K, big_word, 0.0)) - np.log10(np.maximum(cw, 1)) * (word != END)) * _SCORE,
         *(times * (seen & (p_class == r)) for r in range(1, K + 1)),
         *(times * (~seen & (w_class == r)) for r in range(K + 2)),
     ]
@@ -190,12 +189,13 @@ def _count(rows: list[tuple[int, list[bytes]]], bucket: int, buckets: int, heavy
         found.append(_count_part(of(word), of(context), batch << 32 | (d >> 1), of(times), (d & 1) == 0, heavy, heavy_count))
     yield (_COUNTS, bucket, -1, [sum(f[0] for f in found).astype("<i8").tobytes()])
     source, sums = _reduced(np.concatenate([f[1][0] for f in found]), np.concatenate([f[1][1] for f in found], axis=1))
-    sums = np.rint(sums).astype(np.uint64)
+    sums = np.rint(sums).astype(np.int64)
+    sums[2] = sums[2] << 1 ^ sums[2] >> 63  # the one sum that may be negative
     cut = np.searchsorted(source, np.arange(len(rows) + 1) << 32)
     for k in range(len(rows)):
         s = slice(cut[k], cut[k + 1])
         if cut[k] < cut[k + 1]:
-            yield (_SUMS, bucket, int(batches[k]), [pack_sorted(source[s] & 0xFFFFFFFF), *(pack(f[s]) for f in sums)])
+            yield (_SUMS, bucket, int(batches[k]), [pack_sorted(source[s] & 0xFFFFFFFF), *(pack(f[s].astype(np.uint64)) for f in sums)])
     v, numbers = _reduced(np.concatenate([f[2][0] for f in found]), np.concatenate([f[2][1] for f in found], axis=1))
     to = _bucket(v, buckets)
     order = np.argsort(to, kind="stable")
@@ -281,17 +281,19 @@ def _finish(rows: list, d: Discounts):
     head = next(p for kind, p in rows if kind == _DOCS)
     ids, null, held = np.frombuffer(head[0], dtype="<i8"), np.frombuffer(head[1], dtype=np.uint8) > 0, np.frombuffer(head[2], dtype=np.uint8) > 0
     length = unpack(head[3]).astype(np.int64)
-    total = np.zeros((4 + K + K + 2, len(ids)))
+    total = np.zeros((3 + K + K + 2, len(ids)))
     back = np.zeros(len(ids))
     for kind, p in rows:
         if kind == _SUMS:
-            total[:, unpack_sorted(p[0]).astype(np.int64)] += np.stack([unpack(x).astype(np.float64) for x in p[1:]])
+            sums = np.stack([unpack(x).astype(np.int64) for x in p[1:]])
+            sums[2] = sums[2] >> 1 ^ -(sums[2] & 1)
+            total[:, unpack_sorted(p[0]).astype(np.int64)] += sums
         elif kind == _UNSEEN:
             back[unpack_sorted(p[0]).astype(np.int64)] += np.frombuffer(p[1], dtype="<f8")
-    known, base, plus, minus = total[0], total[1] / _SCALE, total[2] / _SCALE, total[3] / _SCALE
+    known, base, fixed = total[0], total[1] / _BASE, total[2] / _SCORE
     log_n = np.log10(max(d.tokens, 1))
     word = np.concatenate([[np.log10(d.unknown)], np.log10(d.word) - log_n, [-log_n]])
-    score = plus - minus + back + np.log10(d.pair) @ total[4 : 4 + K] + word @ total[4 + K :] - (np.log10(d.documents) if d.documents else 0.0)
+    score = fixed + back + np.log10(d.pair) @ total[3 : 3 + K] + word @ total[3 + K :] - (np.log10(d.documents) if d.documents else 0.0)
     base = base - length * np.log10(d.tokens + d.types + 1)
     cols = [pa.array(ids, mask=null), pa.array(held), pa.array(length), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), d.tokens)), pa.array(base), pa.array(score)]
     return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
