@@ -64,7 +64,10 @@ def thresholds(low: float = SWEEP_LOW, high: float = SWEEP_HIGH, step: float = S
 
 def _binned(rows: DataFrame, grid: list, prob: str) -> DataFrame:
     """Number of thresholds that each row's score reaches."""
-    return rows.withColumn("bin", sum((F.col(prob) >= t).cast("int") for t in grid))
+    reached = F.when(F.col(prob) >= grid[-1], len(grid))
+    for k in range(len(grid) - 1, 0, -1):
+        reached = reached.when(F.col(prob) >= grid[k - 1], k)
+    return rows.withColumn("bin", reached.otherwise(0))
 
 
 def sweep(rows: DataFrame, grid: list, prob: str = "prob", by: list[str] | None = None, ntrue: DataFrame | None = None) -> DataFrame:
