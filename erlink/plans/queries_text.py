@@ -15,7 +15,7 @@ _CLEAN = r"trim(regexp_replace(regexp_replace({}, '[^\p{{L}}\p{{N}}\p{{M}}\s]',
 
 @query(f"SELECT doc_id, {_CLEAN.format('lower(substring(text, 1, 200))')} AS cleaned FROM documents")
 def q_clean_text(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", text.clean_chars(F.lower(F.substring("text", 1, 200))).alias("cleaned"))
+    return read(spark, sf, "documents").select("doc_id", text.clean_chars(F.lower("text")).alias("cleaned"))
 
 
 @query("SELECT p_partkey, array_to_string(list_filter(string_split(lower(p_name), ' '), lambda t: length(t) > 1 AND t NOT IN ('the','and','of','for','at','in','on','a','an','to','co')), ' ') AS tokens FROM part")
@@ -25,7 +25,7 @@ def q_tokens(spark, sf):
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split({_CLEAN.format('lower(substring(text, 1, 200))')}, ' '), lambda t: t <> ''))), ' ') AS tokens FROM documents")
 def q_idf_token_set(spark, sf):
-    norm = text.clean_chars(F.lower(F.substring("text", 1, 200)))
+    norm = text.clean_chars(F.lower("text"))
     return read(spark, sf, "documents").select("doc_id", F.array_join(text.idf_tokens(norm), " ").alias("tokens"))
 
 
@@ -33,7 +33,7 @@ def q_idf_token_set(spark, sf):
 f AS (SELECT doc_id, s, regexp_matches(s, '[\x{0000}-\x{024F}]') AS la, regexp_matches(s, '[\x{0900}-\x{0D7F}]') AS ind, regexp_matches(s, '[^\x{0000}-\x{024F}\x{0900}-\x{0D7F}]') AS oth FROM l)
 SELECT doc_id, CASE WHEN s = '' THEN 'none' WHEN oth OR (la AND ind) THEN 'mixed' WHEN la THEN 'latin' ELSE 'indic' END AS script FROM f""")
 def q_script(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", text.script_of(F.substring("text", 1, 100)).alias("script"))
+    return read(spark, sf, "documents").select("doc_id", text.script_of(F.col("text")).alias("script"))
 
 
 _NAMES = "(SELECT p_partkey AS k, lower(p_name) || CASE p_partkey % 5 WHEN 0 THEN ' pvt ltd' WHEN 1 THEN ' inc' WHEN 2 THEN ' private limited' WHEN 3 THEN '' ELSE ' gmbh' END AS name FROM part)"
@@ -115,8 +115,7 @@ def q_id_set(spark, sf):
 
 @query()
 def q_normalize_unicode(spark, sf):
-    n = F.substring("text", 1, 200)
-    return read(spark, sf, "documents").select("doc_id", text.name_forms(n).alias("f")).select("doc_id", "f.*")
+    return read(spark, sf, "documents").select("doc_id", text.name_forms("text").alias("f")).select("doc_id", "f.*")
 
 
 @query()
