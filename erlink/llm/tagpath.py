@@ -9,8 +9,9 @@ whose fused weight reaches the threshold, taken from the page's own weights.
 Blocks in the container of a content path (an article's headings, lists and
 quotes among its paragraphs) belong to it.  Before the ratios are taken, parts
 whose tag, role, class or id names a menu, header, footer, sidebar, notice,
-advert, form, script, style or comment section drop out; where a page marks an
-article or main part, only that is looked at.
+advert, form, script, style or comment section drop out.  An article or main
+element is a prior: paths inside need a quarter of the weight, and paths outside
+must also reach the best path inside; headings of a chosen part stay with it.
 
 Defined cases: null html counts as empty; pages without text blocks give '';
 unclosed and stray tags follow HTML's rules for paragraphs and list items and
@@ -51,6 +52,11 @@ _NOISE = frozenset(
     "comment comments commentlist respond reply replies disqus discussion share sharing social related recommend recommended recommendations newsletter subscribe subscription signup "
     "login search form pagination pager widget widgets tags tagcloud skip toc outbrain taboola legal copyright disclaimer teaser teasers readmore reader feedback".split()
 )
+#: Of these, words that classes of a page's main article carry too (of its layout or parts), so that they don't drop it.
+_LAYOUT = frozenset("side sidebar sidebars rail header masthead nav navbar footer foot share sharing social tags widget widgets notice notices alert alerts legal copyright disclaimer search form newsletter reader".split())
+_MARKS = frozenset(("article", "main"))
+#: Odds for paths in an article or main element.
+PRIOR = 4.0
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
@@ -74,7 +80,7 @@ def _noise(tag: str, attributes: str, content: bool) -> bool:
             return True
         if name == "role" and _ROLES.intersection(value.lower().split()):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and _NOISE.intersection(_WORDS.findall(_CAMEL.sub(r"\1 \2", value).lower())):
+        if name in ("class", "id") and tag not in ("html", "body", "main") and (_NOISE - _LAYOUT if tag == "article" else _NOISE).intersection(_WORDS.findall(_CAMEL.sub(r"\1 \2", value).lower())):
             return True
     return False
 
@@ -206,20 +212,28 @@ def path_weights(found: list[_Block]) -> dict[tuple[str, ...], float]:
     return {k: v / count[k] for k, v in total.items()}
 
 
+def _root(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path down to its first article or main element, () if there is none."""
+    return next((path[: i + 1] for i, t in enumerate(path) if t in _MARKS), ())
+
+
 def extract(page: str | None, share: float = 0.25) -> str:
     """The main text: blocks of content paths in page order, joined by blank lines."""
     found = blocks(page or "")
-    if any(b.marked for b in found):
-        found = [b for b in found if b.marked]
     if not found:
         return ""
     weight = path_weights(found)
+    roots = {k: _root(k) for k in weight}
     least = share * max(weight.values())
-    content = {k for k, v in weight.items() if v >= least}
+    outside = max([least] + [share * PRIOR * v for k, v in weight.items() if roots[k]])
+    content = {k for k, v in weight.items() if (v * PRIOR >= least if roots[k] else v >= outside)}
     homes = {k[:-1] for k in content}
+    chosen = {roots[k] for k in content if roots[k]}
 
     def belongs(b: _Block) -> bool:
-        return b.marked or b.path in content or b.container in homes or any(len(b.path) > len(k) > 2 and b.path[: len(k)] == k for k in homes)
+        if b.path in content or b.container in homes or b.tag in _HEADINGS and roots[b.path] in chosen:
+            return True
+        return any(len(b.path) > len(k) and (len(k) > 2 or _root(k)) and b.path[: len(k)] == k for k in homes)
 
     return "\n\n".join(b.text for b in found if belongs(b))
 
