@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names with a tail that keeps them apart from the columns of ``df``, whatever those are called."""
+    taken, tail = {c.lower() for c in df.columns}, "_"
+    while any((n + tail).lower() in taken for n in names):
+        tail += "_"
+    return [n + tail for n in names]
+
+
 _OWN: dict[str, str] = {}
 
 

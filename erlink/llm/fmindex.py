@@ -10,68 +10,102 @@ Only words of the benchmark can be part of an occurrence, so a shard's symbol
 sequence holds the maximal runs of such words that are at least as long as the
 shortest window; all other words are left out of the index, not of the counts.
 This loses nothing and keeps the index small where little is contaminated.
+Hashes only propose a word's symbol; its bytes decide, and equal windows are
+merged by their symbols, so no result rests on a hash.
 
-The windows go out to the executors in blocks of at most ``BLOCK_BYTES`` of
-benchmark text; one block is one pass, and results of several are merged.
+The windows go out to the executors in blocks of about ``BLOCK_BYTES`` of
+benchmark text; longer items are cut into overlapping pieces.  One block is one
+pass and the only one in the driver's memory at that time; hits of several
+blocks are written to the shared folder and merged.
 
 Defined cases: null texts have no words; documents without words return zero
-counts; items without words or id match nothing; repeated items count once,
-repeated documents are returned each; ties do not arise; very long texts are a
-shard of their own; empty tables give no rows or no hits; other columns are
-not read by the query and kept by the stage.
+counts; items without words match nothing; windows of items without an id mark
+hits, such items count as one in n_items and are left out of the digest;
+repeated items count once, repeated documents are returned each; ties do not
+arise; very long texts are a shard of their own; empty tables give no rows or
+no hits; other columns are not read by the query and kept by the stage.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erlink.llm.common import map_text, table
-from erlink.llm.textvec import ALNUM, split_words, word_hashes
+from erlink.llm.common import map_text, private, stored, table
+from erlink.llm.textvec import ALNUM, Words, inside_documents, same_words, sequence_hashes, split_words, word_hashes
 
 WINDOW = 10
 SAMPLE = 8
 BLOCK_BYTES = 16 << 20
+#: Longer items are cut into pieces of about this size.
+PIECE_BYTES = 1 << 20
 
 
 @dataclass
 class Windows:
-    """Distinct test windows: symbols (padded with 0 on the left), lengths, and the items that each belongs to."""
+    """Distinct test windows as places in one symbol sequence, and the items that each belongs to."""
 
-    vocabulary: np.ndarray  # sorted word hashes; a word's symbol is its place + 1
-    symbols: np.ndarray  # (windows, WINDOW)
+    words: Words  # one of each word of the vocabulary, in order of their hashes
+    hashes: np.ndarray
+    seed: int  # of the hashes, chosen so that they tell all these words apart
+    symbols: np.ndarray  # of all items one after the other; a word's symbol is its place in the vocabulary + 1
+    end: np.ndarray  # where each window ends in ``symbols``
     length: np.ndarray
     item_first: np.ndarray  # windows + 1 offsets into item_of
     item_of: np.ndarray  # indexes into item_ids
-    item_ids: list[str]
+    item_ids: list[str | None]
     shortest: int
 
 
-def build_windows(items: list[tuple[str, str | None]], size: int = WINDOW) -> Windows:
-    ids = sorted({i for i, _ in items})
+def _vocabulary(w: Words) -> tuple[Words, np.ndarray, int, np.ndarray]:
+    """(distinct words, their ascending hashes, the hashes' seed, the place of each word among them)."""
+    seed = 0
+    while True:
+        hashes, first, place = np.unique(word_hashes(w, seed), return_index=True, return_inverse=True)
+        if same_words(w, np.arange(len(place)), w, first[place]).all():
+            return Words(w.data, w.start[first], w.end[first], w.doc[first], w.first, w.edge), hashes, seed, place
+        seed += 1
+
+
+def build_windows(items: list[tuple[str | None, str | None]], size: int = WINDOW) -> Windows:
+    ids: list[str | None] = sorted({i for i, _ in items if i is not None})
     place = {i: k for k, i in enumerate(ids)}
+    if any(i is None for i, _ in items):
+        place[None] = len(ids)
+        ids.append(None)
+    item = np.array([place[i] for i, _ in items], dtype=np.int64)
     w = split_words([t for _, t in items], ALNUM, lower=True)
-    h = word_hashes(w)
-    vocabulary = np.unique(h)
-    symbol = np.searchsorted(vocabulary, h).astype(np.int32) + 1
-    owners: dict[tuple[int, ...], set[int]] = {}
-    for k, (item, _) in enumerate(items):
-        s = symbol[w.first[k] : w.first[k + 1]].tolist()
-        for at in range(max(1, len(s) - size + 1) if s else 0):
-            owners.setdefault(tuple(s[at : at + size]), set()).add(place[item])
-    keys = sorted(owners)
-    symbols = np.zeros((len(keys), size), dtype=np.int32)
-    for r, key in enumerate(keys):
-        symbols[r, size - len(key) :] = key
-    length = np.array([len(key) for key in keys], dtype=np.int64)
-    of = [sorted(owners[key]) for key in keys]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in of], dtype=np.int64)]).astype(np.int64)
-    return Windows(vocabulary, symbols, length, first, np.array([i for x in of for i in x], dtype=np.int64), ids, int(length.min(initial=size)))
+    words, hashes, seed, at = _vocabulary(w)
+    symbols = at.astype(np.int32) + 1
+    count = np.diff(w.first)
+    short = np.flatnonzero((count > 0) & (count < size))
+    full = inside_documents(w, size)
+    start = np.concatenate([w.first[short], full]).astype(np.int64)
+    length = np.concatenate([count[short], np.full(len(full), size)]).astype(np.int64)
+    owner = item[w.doc[start]] if len(start) else np.empty(0, dtype=np.int64)
+    # windows of one length and hash stand together; each is merged with the first there if their symbols agree
+    code = np.concatenate([np.zeros(len(short), dtype=np.uint64), sequence_hashes(symbols.astype(np.uint64), size)[full] if len(full) else np.empty(0, dtype=np.uint64)])
+    order = np.lexsort((start, code, length))
+    start, length, owner, code = start[order], length[order], owner[order], code[order]
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (code[1:] != code[:-1]) | (length[1:] != length[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.empty(0, dtype=np.int64)
+    alike = np.ones(len(start), dtype=bool)
+    for k in range(size):
+        there = k < length
+        alike &= ~there | (symbols[np.where(there, start + k, 0)] == symbols[np.where(there, start[lead] + k, 0)]) if len(symbols) else True
+    new |= ~alike  # a window that only shares the hash stands for itself
+    group = np.where(alike, (np.cumsum(new) - 1)[lead], np.cumsum(new) - 1) if len(new) else np.empty(0, dtype=np.int64)
+    pairs = np.unique(group * len(ids) + owner)
+    first = np.searchsorted(pairs // max(len(ids), 1), np.arange(int(new.sum()) + 1))
+    return Windows(words, hashes, seed, symbols, (start + length)[new], length[new], first, pairs % max(len(ids), 1), ids, int(length.min(initial=size)))
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -140,15 +174,15 @@ class FMIndex:
         self.sample_rank = np.concatenate([[0], np.cumsum(sampled)])
         self.sample = suffix[sampled]
 
-    def search(self, symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row intervals [low, high) of all patterns; a pattern stands at the right end of its row of ``symbols``."""
-        last = symbols[:, -1].astype(np.int64)
+    def search(self, symbols: np.ndarray, end: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row intervals [low, high) of all patterns, the ``length`` symbols before each ``end``."""
+        last = symbols[end - 1].astype(np.int64)
         low, high = self.first[last], self.first[last + 1]
-        for k in range(2, symbols.shape[1] + 1):
+        for k in range(2, int(length.max(initial=0)) + 1):
             go = np.flatnonzero((length >= k) & (low < high))
             if not len(go):
                 break
-            c = symbols[go, -k].astype(np.int64)
+            c = symbols[end[go] - k].astype(np.int64)
             low[go] = self.first[c] + self.matrix.rank(c, low[go])
             high[go] = self.first[c] + self.matrix.rank(c, high[go])
         return low, high
@@ -177,10 +211,12 @@ def find(texts, win: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     flags = np.zeros(total, dtype=bool)
     if not total or not len(win.length):
         return np.diff(w.first), flags, w.first, none
-    h = word_hashes(w)
-    at = np.minimum(np.searchsorted(win.vocabulary, h), len(win.vocabulary) - 1)
-    symbol = np.where(win.vocabulary[at] == h, at + 1, 0).astype(np.int32)
-    known = symbol > 0
+    h = word_hashes(w, win.seed)
+    at = np.minimum(np.searchsorted(win.hashes, h), len(win.hashes) - 1)
+    known = win.hashes[at] == h
+    maybe = np.flatnonzero(known)
+    known[maybe] = same_words(w, maybe, win.words, at[maybe])
+    symbol = np.where(known, at + 1, 0).astype(np.int32)
     starts_run = known & np.concatenate([[True], ~known[:-1] | (w.doc[1:] != w.doc[:-1])])
     run = np.cumsum(starts_run) - 1
     size = np.bincount(run[known], minlength=max(1, int(run[-1]) + 1))
@@ -194,8 +230,8 @@ def find(texts, win: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     s[place] = symbol[keep]
     word_at = np.full(len(s), -1, dtype=np.int64)
     word_at[place] = keep
-    index = FMIndex(s, len(win.vocabulary))
-    low, high = index.search(win.symbols, win.length)
+    index = FMIndex(s, len(win.hashes))
+    low, high = index.search(win.symbols, win.end, win.length)
     found = np.flatnonzero(high > low)
     if not len(found):
         return np.diff(w.first), flags, w.first, none
@@ -217,31 +253,54 @@ def find(texts, win: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     return np.diff(w.first), flags, w.first, [of[a:b] for a, b in zip(cut, cut[1:])]
 
 
-def benchmark_blocks(benchmark: DataFrame) -> list[Windows]:
-    """The windows of all items, in blocks whose texts have about ``BLOCK_BYTES`` at most."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES) or 1
-    out = []
+def _pieces(items: DataFrame, size: int = WINDOW, limit: int = PIECE_BYTES) -> DataFrame:
+    """(item_id, piece, text): long texts cut between words into pieces that overlap by ``size`` - 1 words, so that their windows are the item's."""
+
+    def cut(text: str | None) -> list[str | None]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if len(raw) <= limit:
+            return [text]
+        w = split_words([raw], ALNUM, lower=True)
+        step = max(size, len(w.start) * limit // len(raw))
+        if step >= len(w.start):
+            return [text]
+        return [raw[w.start[a] : w.end[min(a + step + size - 1, len(w.start)) - 1]].decode("utf-8", "surrogatepass") for a in range(0, len(w.start) - size + 1, step)]
+
+    def run(batches):
+        for batch in batches:
+            rows = [(item, k, part) for item, text in zip(*(batch.column(c).to_pylist() for c in (0, 1))) for k, part in enumerate(cut(text))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], names=["item_id", "piece", "text"])
+
+    return items.mapInArrow(run, "item_id string, piece bigint, text string")
+
+
+def benchmark_blocks(benchmark: DataFrame, limit: int | None = None) -> Iterator[Windows]:
+    """The windows of all items, block by block; texts of a block have about ``limit`` (else ``BLOCK_BYTES``) bytes."""
+    pieces = _pieces(benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")))
+    size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n = max(1, -(-size // (limit or BLOCK_BYTES)))
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
-        out.append(build_windows([(r["item_id"], r["text"]) for r in part.collect()]))
-    return out
+        part = pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(n)) == k) if n > 1 else pieces
+        got = part.toArrow()
+        yield build_windows(list(zip(got.column("item_id").to_pylist(), got.column("text").to_pylist())))
 
 
-def _digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+def _digest(ids) -> str:
+    return hashlib.sha256(",".join(sorted(i for i in ids if i is not None)).encode()).hexdigest()
 
 
 _OUT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+_NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per document row: counts of words, hit words and items."""
-    blocks = benchmark_blocks(benchmark)
-    sc = docs.sparkSession.sparkContext
-    if len(blocks) == 1:
-        held = sc.broadcast(blocks[0])
+    blocks = benchmark_blocks(benchmark, limit)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        held = docs.sparkSession.sparkContext.broadcast(first)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             win = held.value
@@ -249,39 +308,51 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             hit = np.diff(np.concatenate([[0], np.cumsum(flags)])[first])
             ids = [[win.item_ids[k] for k in x] for x in items]
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([_digest(x) for x in ids], pa.string()), pa.array(hit > 0)]
-            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            return pa.RecordBatch.from_arrays(cols, names=_NAMES)
 
         return map_text(docs.select("doc_id", "text"), "text", run, _OUT)
-    parts = None
-    for k, block in enumerate(blocks):
-        part = _block_hits(docs, sc.broadcast(block)).withColumn("block", F.lit(k))
-        parts = part if parts is None else parts.unionByName(part)
-    # equal rows (same id and text) have equal hits: merged once, returned as often as they occur
-    merged = parts.groupBy("doc_id", "hash", "n_words").agg((F.count("*") / len(blocks)).cast("int").alias("copies"), F.collect_set(F.struct("hits", "items")).alias("found"))
+    found = _hits(docs, chain([first, second], blocks))
 
     def merge(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            words = [set().union(*(np.frombuffer(f["hits"], dtype="<i8").tolist() for f in r["found"])) for r in rows]
-            ids = [sorted(set().union(*(f["items"] for f in r["found"]))) for r in rows]
-            out = [(r["doc_id"], r["n_words"], len(h), len(i), _digest(i), bool(h)) for r, h, i in zip(rows, words, ids) for _ in range(r["copies"])]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+            ids, words = batch.column(0), batch.column(1)
+            hits = [_union(x) for x in batch.column(2).to_pylist()]
+            items = [set().union(*(x or [])) for x in batch.column(3).to_pylist()]
+            cols = [ids, words, *(pa.array(c, t) for c, t in zip(([len(h) for h in hits], [len(i) for i in items], [_digest(i) for i in items], [len(h) > 0 for h in hits]), _TYPES[2:]))]
+            yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
 
-    return merged.mapInArrow(merge, _OUT)
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = np.diff(split_words(batch.column(2).to_pylist(), ALNUM, lower=True).first)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "hash", "n_words"])
 
+    counted = map_text(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"), "text", count, "doc_id bigint, hash bigint, n_words bigint")
+    f = found.withColumnsRenamed({"doc_id": "id", "hash": "of"})
+    rows = counted.join(f, counted["doc_id"].eqNullSafe(f["id"]) & (counted["hash"] == f["of"]), "left")
+    return rows.select("doc_id", "n_words", "hits", "items").mapInArrow(merge, _OUT)
 
-def _block_hits(docs: DataFrame, held) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        win = held.value
-        n, flags, first, items = find(batch.column(2).to_pylist(), win)
-        hits = [np.flatnonzero(flags[a:b]).astype("<i8").tobytes() for a, b in zip(first, first[1:])]
-        cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hits, pa.binary()), pa.array([[win.item_ids[k] for k in x] for x in items], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "hash", "n_words", "hits", "items"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    return map_text(rows, "text", run, "doc_id bigint, hash bigint, n_words bigint, hits binary, items array<string>")
+def _union(hits: list[bytes] | None) -> np.ndarray:
+    return np.unique(np.concatenate([np.frombuffer(h, dtype="<i8") for h in hits])) if hits else np.empty(0, dtype=np.int64)
+
+
+def _hits(docs: DataFrame, blocks) -> DataFrame:
+    """(doc_id, hash, hits, items) of the documents that some block hits, with a list entry per block; equal rows have equal hits."""
+    parts = None
+    for win in blocks:  # a pass each; the block before is given up first
+        held = docs.sparkSession.sparkContext.broadcast(win)
+
+        def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
+            win = held.value
+            _, flags, first, items = find(batch.column(2).to_pylist(), win)
+            hits = [np.flatnonzero(flags[a:b]).astype("<i8").tobytes() for a, b in zip(first, first[1:])]
+            cols = [batch.column(0), batch.column(1), pa.array(hits, pa.binary()), pa.array([[win.item_ids[k] for k in x] for x in items], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "hash", "hits", "items"]).filter(pa.array([len(h) > 0 for h in hits], pa.bool_()))
+
+        rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+        part = stored(map_text(rows, "text", run, "doc_id bigint, hash bigint, hits binary, items array<string>").distinct(), "hits")
+        held.destroy()
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("doc_id", "hash").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
 
 
 def op2_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,33 +372,48 @@ def remove_spans(text: str | None, flags: np.ndarray, start: np.ndarray, end: np
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, limit: int | None = None) -> DataFrame:
     """Pipeline stage: hit words are cut from the texts; documents of which nothing is left go.
 
-    n_chars becomes the new text's length where a text is cut.
+    n_chars becomes the new text's length where a text is cut.  Null and empty
+    texts, repeated rows and null doc_ids stay as they are; without benchmark
+    items every row stays; empty docs give no rows; all columns are kept.
     """
-    blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(table(spark, sf_dir, "benchmark"))]
+    blocks = benchmark_blocks(table(spark, sf_dir, "benchmark"), limit)
+    one, second = next(blocks), next(blocks, None)
     schema = docs.schema
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = batch.schema.names
-        texts = batch.column(names.index("text")).to_pylist()
-        flags = None
-        for block in blocks:
-            _, f, first, _ = find(texts, block.value)
-            flags = f if flags is None else flags | f
+    def cut(batch: pa.RecordBatch, flags: np.ndarray) -> pa.RecordBatch:
+        """The batch's rows (the columns of ``docs`` come first) without the flagged words."""
+        names = schema.names
+        at = names.index("text")
+        texts = batch.column(at).to_pylist()
         w = split_words(texts, ALNUM, lower=True)
         new, keep = [], []
         for d, t in enumerate(texts):
-            a, b = first[d], first[d + 1]
-            cut = flags[a:b].any()
-            new.append(remove_spans(t, flags[a:b], w.start[a:b] - w.edge[d], w.end[a:b] - w.edge[d]) if cut else t)
-            keep.append(not (cut and flags[a:b].all()))
-        cols = [pa.array(new, batch.schema.field(c).type) if c == "text" else batch.column(i) for i, c in enumerate(names)]
+            a, b = w.first[d], w.first[d + 1]
+            hit = flags[a:b]
+            new.append(remove_spans(t, hit, w.start[a:b] - w.edge[d], w.end[a:b] - w.edge[d]) if hit.any() else t)
+            keep.append(not (hit.any() and hit.all()))
+        cols = [batch.column(i) for i in range(len(names))]
+        cols[at] = pa.array(new, batch.schema.field(at).type)
         if "n_chars" in names:
             i = names.index("n_chars")
-            old = batch.column(i).to_pylist()
-            cols[i] = pa.array([len(n) if n is not t and n != t else o for n, t, o in zip(new, texts, old)], batch.schema.field(i).type)
+            cols[i] = pa.array([len(n) if n is not t else o for n, t, o in zip(new, texts, batch.column(i).to_pylist())], batch.schema.field(i).type)
         return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return map_text(docs, "text", run, schema)
+    if second is None:
+        held = spark.sparkContext.broadcast(one)
+        return map_text(docs, "text", lambda batch: cut(batch, find(batch.column(schema.names.index("text")).to_pylist(), held.value)[1]), schema)
+    of, ident, hits = private(docs, "of", "id", "hits")
+    found = _hits(docs, chain([one, second], blocks)).select(F.col("doc_id").alias(ident), F.col("hash").alias(of), F.col("hits").alias(hits))
+    rows = docs.join(found, docs["doc_id"].eqNullSafe(found[ident]) & (F.xxhash64(docs["text"]) == found[of]), "left").drop(ident, of)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w = split_words(batch.column(schema.names.index("text")).to_pylist(), ALNUM, lower=True)
+        flags = np.zeros(len(w.start), dtype=bool)
+        for first, h in zip(w.first, batch.column(batch.num_columns - 1).to_pylist()):
+            flags[first + _union(h)] = True
+        return cut(batch, flags)
+
+    return map_text(rows, "text", run, schema)

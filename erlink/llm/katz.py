@@ -21,7 +21,9 @@ tables lie, and no table is ever in one place.
 Words that hold a large share of the tokens (``heavy``; a bounded number) are
 counted beforehand and dealt by pair, so that no partition gets them whole.
 
-Words are known by ``BITS``-bit codes.  Defined cases: null text counts as empty
+Words are known by 64-bit hashes of their bytes: some two of n words share one
+with a chance of about n * n / 2**65, which is 3 in 100 at 10**9 distinct words
+(they would then count as one word).  Defined cases: null text counts as empty
 (one token, the end); a null doc_id trains; repeated rows count and are scored
 each; without training rows every token is the unknown word, of probability 1;
 very long texts are a batch of their own; an empty table gives no rows; other
@@ -44,9 +46,8 @@ from erlink.llm.textvec import NON_SPACE, mix, split_words, word_hashes
 K = 5
 EPSILON = 0.01
 BATCH_BYTES = 12 << 20
-#: Bits of a word's code: its hash without the lowest 12.  Two of n words share a code with a chance of about n * n / 2**53.
-BITS = 52
-END, START = (np.uint64(x >> 64 - BITS) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+#: Codes of a text's end and of the context before its first word; other codes are the hashes of words' bytes.
+END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Entries that a partition counts at a time.
 PART = 600_000
 _BASE, _SCORE = 1e8, 1e6  # sums of logarithms travel as integers of these units
@@ -88,7 +89,7 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(w.first) - 1
     doc = np.concatenate([w.doc, np.arange(n, dtype=np.int32)])
     order = np.argsort(doc, kind="stable")  # each end goes behind its document's words
-    word = np.concatenate([word_hashes(w) >> np.uint64(64 - BITS), np.full(n, END)])[order]
+    word = np.concatenate([word_hashes(w), np.full(n, END)])[order]
     doc = doc[order]
     context = np.empty_like(word)
     context[1:] = word[:-1]
@@ -176,7 +177,7 @@ def _count(rows: list[tuple[int, list[bytes]]], bucket: int, buckets: int, heavy
     batches = np.array([b for b, _ in rows], dtype=np.int64)
     word = [unpack_sorted(p[0]) for _, p in rows]
     parts = -(-sum(map(len, word)) // PART)
-    edges = [int((1 << BITS) * k // parts) for k in range(1, parts)]
+    edges = [int((1 << 64) * k // parts) for k in range(1, parts)]
     cuts = [[0, *np.searchsorted(w, np.array(edges, dtype=np.uint64)).tolist(), len(w)] for w in word]
     context = [unpack_sorted(p[1])[unpack(p[2]).astype(np.int64)] for _, p in rows]
     doc = [unpack(p[3]).astype(np.uint32) for _, p in rows]

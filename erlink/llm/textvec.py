@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.arange(256, dtype=np.uint8)
@@ -33,14 +34,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _MUL, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW = _powers(4096)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+#: Masks that keep the first 0..8 bytes of a little-endian chunk.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Words of more bytes are hashed one by one; up to here all words take a step per eight bytes together.
+LONG = 1024
 
 
 @dataclass
@@ -82,47 +79,67 @@ def split_words(texts, is_word: np.ndarray, lower: bool) -> Words:
     return Words(data, start, end, doc, first, at)
 
 
-def word_hashes(w: Words, block: int = 1 << 21) -> np.ndarray:
-    """A 64-bit hash of each word, in blocks of words so that temporaries stay small."""
+def _chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as little-endian numbers; ``data`` is followed by zeros."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def word_hashes(w: Words, seed: int = 0, block: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: chained mixing of its eight-byte chunks, XXH64 beyond ``LONG`` bytes."""
     out = np.empty(len(w.start), dtype=np.uint64)
-    i = 0
-    while i < len(w.start):
-        j = int(np.searchsorted(w.start, w.start[i] + block, side="left"))
-        j = max(j, i + 1)
-        lo, hi = int(w.start[i]), int(w.end[j - 1])
-        start = w.start[i:j] - lo
-        length = (w.end[i:j] - w.start[i:j]).astype(np.int64)
-        where = np.arange(hi - lo, dtype=np.int64)
-        where -= np.repeat(start, np.diff(np.append(start, hi - lo)))
-        inside = where < np.repeat(length, np.diff(np.append(start, hi - lo)))
-        if int(length.max(initial=0)) > len(_POW):
-            power = _powers(int(length.max()) + 1)
-        else:
-            power = _POW
-        value = _BYTE[w.data[lo:hi]] * power[np.where(inside, where, 0)]
-        value[~inside] = 0
-        out[i:j] = mix(np.add.reduceat(value, start) + length.astype(np.uint64))
-        i = j
+    chunk = _chunks(w.data)
+    for i in range(0, len(out), block):
+        start = w.start[i : i + block]
+        size = w.end[i : i + block] - start
+        h = mix((chunk[start] & _KEEP[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _MUL + np.uint64(seed)))
+        more, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(more):
+            left = size[more] - at
+            h[more] = mix(h[more] ^ (chunk[start[more] + at] & _KEEP[np.minimum(left, 8)]))
+            at += 8
+            more = more[left > 8]
+        for k in np.flatnonzero(size > LONG):
+            h[k] = xxhash.xxh64_intdigest(w.data[start[k] : start[k] + size[k]].tobytes(), seed)
+        out[i : i + block] = h
     return out
 
 
+def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether word ``i`` of ``a`` and word ``j`` of ``b`` have the same bytes, for each pair of indexes."""
+    size = a.end[i] - a.start[i]
+    same = size == b.end[j] - b.start[j]
+    left, right = _chunks(a.data), _chunks(b.data)
+    some, at = np.flatnonzero(same & (size > 0)), 0
+    while len(some) and at < LONG:
+        rest = size[some] - at
+        keep = _KEEP[np.minimum(rest, 8)]
+        ok = (left[a.start[i[some]] + at] & keep) == (right[b.start[j[some]] + at] & keep)
+        same[some[~ok]] = False
+        some, at = some[ok & (rest > 8)], at + 8
+    for k in some:  # very long words
+        x, y, n = a.start[i[k]], b.start[j[k]], size[k]
+        same[k] = np.array_equal(a.data[x : x + n], b.data[y : y + n])
+    return same
+
+
 def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` consecutive word hashes (len(h) - n + 1 of them), order-sensitive."""
+    """Hash of each run of ``n`` consecutive word hashes (len(h) - n + 1 of them), order-sensitive; every join of two parts is mixed."""
     if len(h) < n:
         return np.empty(0, dtype=np.uint64)
-    out, size, power, have, width = h, 1, _MUL, None, 0  # sums over `size` words; `have` sums over `width` of them
+    out, size, have, width = h, 1, None, 0  # hashes of `size` words; `have` those of `width` words
     while n:
         if n & 1:
             if have is None:
                 have = out
             else:  # `have` first, then `out`
                 m = len(h) - width - size + 1
-                have = have[:m] * power + out[width : width + m]
+                have = mix(have[:m] * _MUL + out[width : width + m])
             width += size
         n >>= 1
         if n:
             m = len(out) - size
-            out, size, power = out[:m] * power + out[size:], 2 * size, np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF)
+            out, size = mix(out[:m] * _MUL + out[size:]), 2 * size
     return mix(have)
 
 
