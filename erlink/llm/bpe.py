@@ -9,7 +9,9 @@ over the same ranks, since the scan is quadratic in the word.
 
 Defined cases: null text counts as empty; empty text has 0 tokens and decodes
 to ''; special-token strings inside a text become their ids, as in the
-library; repeated rows are encoded each; other columns are not read.
+library; code points newer than Python's Unicode are read as the library reads
+them; repeated rows are encoded each; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,10 +37,53 @@ CACHE_WORDS = 200_000
 #: White space as the library's pattern engine sees it (Unicode White_Space).
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
+_LATE = regex.compile("[^\x00-\u0557]")  # where versions() may matter
 _NONE = 1 << 60
 _NO_RANK = 2**31 - 1
 
 
+@dataclass
+class Versions:
+    """Where Python, the pattern module and the library follow different versions of Unicode."""
+
+    inert: regex.Pattern  # marks that the library's NFC takes for plain characters
+    rest: regex.Pattern  # what lies between those
+    odd: regex.Pattern  # newer than ``unicodedata``, letters or numbers to the pattern module
+    pieces: regex.Pattern  # the pattern that classes those as the library does
+    lower: dict[int, str]  # and their lower case there
+
+
+def _set(chars) -> str:
+    """The characters as the inside of a bracketed set (never empty)."""
+    return "".join(map(regex.escape, sorted(chars))) or "\\n"
+
+
+@lru_cache(maxsize=1)
+def versions() -> Versions:
+    """The library itself is asked, once per worker, about the code points that not all versions know."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    nfc, lower = normalizers.NFC().normalize_str, normalizers.Lowercase().normalize_str
+    low, high = "\u0334", "\u0345"  # marks of the smallest and the largest class: any other mark moves before or behind one of them
+    inert = {c for c in every if unicodedata.combining(c) and nfc(c + low) == c + low and nfc(high + c) == high + c and c not in (low, high)}
+    for c in every:
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            pair = "".join(chr(int(x, 16)) for x in parts)
+            if unicodedata.normalize("NFC", pair) == c != nfc(pair):
+                inert.add(pair[1])
+    odd = regex.findall(r"[\p{L}\p{N}]", "".join(c for c in every if unicodedata.category(c) == "Cn"))
+    lines, other = "\n".join(odd), {}
+    for kind in "LN":  # those that the library doesn't count to the class
+        left = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}"), "removed").pre_tokenize_str(lines)
+        other[kind] = set("".join(part for part, _ in left)) - {"\n"}
+    pieces = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_set(other['L'])}]]+|[\p{{N}}--[{_set(other['N'])}]]|[[^{_SPACE}\p{{L}}\p{{N}}]||[{_set(other['L'] & other['N'])}]--[\n]]+"
+    return Versions(
+        regex.compile(f"[{_set(inert)}]"), regex.compile(f"[^{_set(inert)}]+"), regex.compile(f"[{_set(odd)}]"), regex.compile(pieces), {ord(c): x for c in odd if (x := lower(c)) != c}
+    )
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -170,7 +216,14 @@ class BpeCodec:
         cache.update((w, self._entry(self.encode_word(w))) for w, b in raw if len(b) > SHORT)
 
     def _words(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()  # lower() alone would look at the word's end
+        late = _LATE.search(text) is not None
+        if late and versions().inert.search(text):
+            text = versions().rest.sub(lambda m: unicodedata.normalize("NFC", m[0]), text)
+        else:
+            text = unicodedata.normalize("NFC", text)
+        text = text.replace("\u03a3", "\u03c3").lower()  # lower() alone would look at the word's end
+        if late and versions().odd.search(text):
+            return versions().pieces.findall(text.translate(versions().lower))
         return _PIECES.findall(text)
 
     def encode_batch(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
