@@ -42,6 +42,6 @@ UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1,
 e AS (SELECT *, length(regexp_replace(replace(text, '\', '\\'), '(<\||</?s>|\[/?INST\]|<</?SYS>>)', '\1+', 'g')) + length(regexp_replace(role, '([\\\n<])', '\1+', 'g')) + 24 AS f FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-CAST(sum(f) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+CAST(sum(f) AS BIGINT) AS formatted_chars, false AS rewrites FROM e GROUP BY conv_id"""
 
 SQL: dict[str, str] = {"op2_fm_index": OP2, "op7_pq": OP7, "op9_suffix": OP9, "op10_chat": OP10}

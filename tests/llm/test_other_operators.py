@@ -119,6 +119,60 @@ def test_rendering_finds_spans_and_rewrites():
     assert rewrites and [text[s.text_start : s.text_end] for s in (spans[0], spans[2])] == ["q", "z"] and spans[1].start == -1
 
 
+class LastForty(chat.MarkedTemplate):
+    """Drops all but the last 40 turns."""
+
+    def __call__(self, turns):
+        return super().__call__(turns[-40:])
+
+
+class Early(chat.MarkedTemplate):
+    """Changes the first turn once there are more than 70."""
+
+    def __call__(self, turns):
+        return super().__call__([("system", "long")] * (len(turns) > 70) + turns[len(turns) > 70 :])
+
+
+@pytest.mark.parametrize("template", [LastForty(), Early(), chat.MarkedTemplate()])
+@pytest.mark.parametrize("n", [1, 39, 45, 50, 100, 333])
+def test_rewrites_are_detected_at_any_length(template, n):
+    turns = [("user" if k % 2 else "assistant", f"turn {k}\\ </s>") for k in range(n)]
+    whole = template(turns)
+    rewrites = isinstance(template, LastForty) and n > 40 or isinstance(template, Early) and n > 70
+    text, spans, found = chat.render(template, turns)
+    assert (text, found) == (whole, rewrites)
+    kept = [(k, s) for k, s in enumerate(spans) if s.start >= 0]
+    assert [template.unescape(whole[s.text_start : s.text_end]) for _, s in kept] == [turns[k][1] for k, _ in kept]
+    reading = chat._Reading(1, template)
+    for turn in turns:
+        reading.add(turn)
+    loss = "".join(turns[k][1] for k, _ in kept if turns[k][0] == "assistant")
+    read = template.parse(whole)
+    want = hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in read).encode()).hexdigest()
+    assert reading.row() == (1, len(read), want, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole), rewrites)
+
+
+def test_conversations_beyond_memory(monkeypatch):
+    monkeypatch.setattr(chat, "HELD", 500)
+    turns = [("user", f"turn {k} " * 3) for k in range(300)]
+    reading = chat._Reading(1, chat.MarkedTemplate())
+    for turn in turns:
+        reading.add(turn)
+        assert len(reading.prefixes.turns) < 60
+    assert reading.row()[1] == 300 and reading.row()[5:] == (len(chat.MarkedTemplate()(turns)), False)
+    with pytest.raises(ValueError):
+        reading = chat._Reading(1, LastForty())
+        for turn in [("user", "x" * 12)] * 300:
+            reading.add(turn)
+
+
+def test_rewriting_template_in_the_operator(spark):
+    rows = spark.createDataFrame([(c, k, "assistant", f"t{k}") for c in (1, 2) for k in range(50 if c == 1 else 5)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.format_conversations(rows, LastForty()).collect()}
+    assert [got[c]["rewrites"] for c in (1, 2)] == [True, False]
+    assert got[1]["formatted_chars"] == len(LastForty()([("assistant", f"t{k}") for k in range(50)])) and got[1]["n_turns"] == 40
+
+
 def test_chat_query(spark, tables):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, "assistant", "<|x|> \\ é"), (2, 1, "b", "later"), (2, 0, "a", "first"), (2, 0, "a", "first"), (None, 0, None, "n"), (3, 0, "assistant", "x" * 100_000), *[(4, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(90)]]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, n_turns int")
@@ -129,7 +183,7 @@ def test_chat_query(spark, tables):
         turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1], r[2] or "", r[3] or ""))]
         loss = "".join(x for r, x in turns if r == "assistant")
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        want = (conv, len(turns), digest("".join(f"{r}\n{x}\n" for r, x in turns)), len(loss), digest(loss), len(t(turns)))
+        want = (conv, len(turns), digest("".join(f"{r}\n{x}\n" for r, x in turns)), len(loss), digest(loss), len(t(turns)), False)
         assert tuple(got[conv]) == want
     assert {r["conv_id"] for r in chat.op10_chat(spark, tables(conversations=df.limit(0))).collect()} == {-7}
 
