@@ -8,12 +8,30 @@ with the logarithm of the longest chain.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from erlink.llm.common import stored
 
 
+def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node of its component here) of the links given."""
+    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return nodes, nodes[label]
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the smallest of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

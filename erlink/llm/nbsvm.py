@@ -103,9 +103,12 @@ class Model:
     bits: int
 
     def margins(self, offsets: np.ndarray, features: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(self.weight[features])])
-        norm = np.concatenate([[0.0], np.cumsum(self.ratio2[features])])
-        dot, norm = total[offsets[1:]] - total[offsets[:-1]], norm[offsets[1:]] - norm[offsets[:-1]]
+        # a sum per row of its own, so that a score doesn't depend on the rows beside it
+        first, some = offsets[:-1], np.diff(offsets) > 0
+        dot, norm = np.zeros(len(first)), np.zeros(len(first))
+        if some.any():
+            dot[some] = np.add.reduceat(self.weight[features], first[some])
+            norm[some] = np.add.reduceat(self.ratio2[features], first[some])
         return np.where(norm > 1e-12, dot / np.sqrt(np.maximum(norm, 1e-12)), 0.0) + self.intercept
 
     def scores(self, texts) -> np.ndarray:
@@ -214,6 +217,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: documents that the classifier rejects go; all columns stay.
 
     The text is scored in place, beside its row, so that no join back is needed.
+    Null and empty texts get the intercept's score; repeated rows and null
+    doc_ids are scored like others; without labels every row stays (a score of
+    0.5); empty docs give no rows; all columns are kept.
     """
     model = train(docs, table(spark, sf_dir, "labels"))
     held = spark.sparkContext.broadcast(model)

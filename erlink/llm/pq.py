@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erlink.llm.common import n_buckets, stored, table
-from erlink.llm.components import components
+from erlink.llm.components import components, spanning
 
 COSINE = 0.98
 #: Distinct vectors that quantiser and codebooks are fitted on, those of smallest hash.
@@ -111,23 +111,6 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, smallest node of its component here) of the links given."""
-    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = flat[: len(u)], flat[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return nodes, nodes[label]
-
-
 def classes(vectors: DataFrame) -> DataFrame:
     """(rep, label, dim, vector, mult) of each distinct vector of a label that can link; vector is the components as floats."""
     good = vectors.where("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0")
@@ -228,7 +211,7 @@ class _Members:
         if len(i):
             count = np.bincount(i, weights=self.mult[j], minlength=len(raw)).astype(np.int64)
             some = np.flatnonzero(count)
-            u, v = _spanning(rep[i], self.rep[j])
+            u, v = spanning(rep[i], self.rep[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(some), len(u)]).astype(np.int32)), pa.array(np.concatenate([rep[some], u])), pa.array(np.concatenate([count[some], v]))], names=["kind", "a", "b"])
 
 

@@ -17,7 +17,8 @@ Defined cases: null text counts as empty; texts without words have
 fingerprint zero and link like any other; repeated rows are returned each;
 ties go to the smallest doc_id; null doc_ids are kept and get the component of
 their fingerprint's smallest doc_id (null if there is none); an empty table
-gives no rows; other columns are not read by the query and kept by the stage.
+gives no rows; other columns are not read.  The pipeline's stage takes the same embedding with wider
+fingerprints and verifies links on the shingles (``neardup``).
 """
 
 from __future__ import annotations
@@ -217,7 +218,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     of = linked.join(smallest, "component").select("fp", "component_id")
     class_of = least.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(class_of, "fp")
+    from erlink.llm.neardup import split_join
+
+    return split_join(prints, class_of, "fp")
 
 
 def hex16(fp):
@@ -231,10 +234,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays, once; documents without an id stay."""
-    found = near_duplicates(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    cols = docs.columns
-    one = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in cols if c != "doc_id"])).alias("r"))
-    one = one.select(*["doc_id" if c == "doc_id" else F.col("r").getField(c).alias(c) for c in cols])
-    return one.unionByName(docs.where("doc_id is null"))
+    """Pipeline stage: of each group of texts of five-word Jaccard similarity 0.8 or more one row stays.
+
+    See ``neardup``: null and empty texts are copies of each other, equal rows
+    become one, rows without an id take part, empty docs give no rows, all
+    columns are kept.
+    """
+    from erlink.llm.neardup import kept_rows
+
+    return kept_rows(docs)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erlink.llm.common import gathered, map_text, n_buckets, pack, pack_sorted, slices, table, unpack, unpack_sorted
+from erlink.llm.common import gathered, map_text, n_buckets, pack, pack_sorted, private, slices, table, unpack, unpack_sorted
 from erlink.llm.textvec import NON_SPACE, inside_documents, sequence_hashes, split_words, word_hashes
 
 WINDOW = 20
@@ -152,10 +152,11 @@ def covered(n_words: int, starts: bytes | None, window: int = WINDOW) -> np.ndar
 
 
 def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All rows of ``docs`` and a column __starts (null where nothing repeats)."""
-    found = repeats(docs, window).withColumnsRenamed({"doc_id": "__id", "hash": "__hash", "starts": "__starts"})
-    on = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
-    return docs.join(found, on, "left").drop("__id", "__hash")
+    """All rows of ``docs`` and, as the last column, the packed starts (null where nothing repeats)."""
+    ident, of, starts = private(docs, "id", "of", "starts")
+    found = repeats(docs, window).withColumnsRenamed({"doc_id": ident, "hash": of, "starts": starts})
+    on = docs["doc_id"].eqNullSafe(F.col(ident)) & (F.xxhash64(docs["text"]) == F.col(of))
+    return docs.join(found, on, "left").drop(ident, of)
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +184,10 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated passages are cut from the texts; documents of which nothing is left go.
 
-    n_chars becomes the new text's length where a text is cut.
+    n_chars becomes the new text's length where a text is cut.  Null, empty and
+    short texts stay as they are, rows of one doc_id (or without one) are one
+    document, so repeated rows are cut alike; empty docs give no rows; all
+    columns are kept.
     """
     from erlink.llm.fmindex import remove_spans
 
