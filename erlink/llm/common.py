@@ -66,12 +66,12 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         at = end
 
 
-def map_text(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_text(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, limit: int = SLICE_BYTES) -> DataFrame:
     """``fn`` over text-sized cuts of each partition; ``df`` holds just the columns that ``fn`` reads."""
 
     def run(batches):
         for batch in batches:
-            for cut in slices(batch, text):
+            for cut in slices(batch, text, limit):
                 yield fn(cut)
 
     return df.mapInArrow(run, schema)

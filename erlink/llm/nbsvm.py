@@ -32,6 +32,8 @@ from erlink.llm.textvec import NON_SPACE, inside_documents, mix, sequence_hashes
 BITS = 18
 MAX_ROWS = 4000
 THRESHOLD = 0.3
+#: Text bytes that indicators are taken of at once: each byte starts a 4-gram, whose arrays take about a hundred times as much.
+PART = 1 << 20
 
 
 def indicators(texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
         lists = [f[a:b].astype("<i4").tobytes() for a, b in zip(o, o[1:])]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.binary())], names=["doc_id", "y", "features"])
 
-    got = map_text(rows, "text", sets, "doc_id bigint, y int, features binary")
+    got = map_text(rows, "text", sets, "doc_id bigint, y int, features binary", PART)
     # repeated ids and rows take part once, so that the sample stays bounded
     got = got.groupBy("doc_id").agg(F.min(F.struct("y", "features")).alias("r")).select("doc_id", "r.y", "r.features").toArrow().sort_by("doc_id")
     y = np.array(got.column("y").to_pylist(), dtype=np.int64)
@@ -194,7 +196,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    return map_text(docs.select("doc_id", "text"), "text", run, "doc_id bigint, score double")
+    return map_text(docs.select("doc_id", "text"), "text", run, "doc_id bigint, score double", PART)
 
 
 def held_out(doc_id):
@@ -224,16 +226,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = train(docs, table(spark, sf_dir, "labels"))
     held = spark.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep, at, size = [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size > 3_000_000 or i == len(texts) - 1:
-                    keep.append(held.value.scores(texts[at : i + 1]) >= THRESHOLD)
-                    at, size = i + 1, 0
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
-
-    return docs.mapInArrow(run, docs.schema)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(held.value.scores(batch.column(batch.schema.names.index("text")).to_pylist()) >= THRESHOLD))
+
+    return map_text(docs, "text", run, docs.schema, PART)

@@ -47,11 +47,13 @@ SIMILARITY = (4, 5)
 LANES = 2
 RADIUS = 30
 #: Texts of a proposed group that are compared in one task, and of a pair of cuts at most twice as many.
-CHUNK = 2048
+CHUNK = 1024
 #: Unrelated texts in a cell, at most about.
 FILL = 64
 #: Bits of the bitmap of row keys.
-MARK_BITS = 25
+MARK_BITS = 24
+#: Text bytes that are cut into shingles at once.
+PART = 1 << 20
 _FIVE = np.uint64(0x5555555555555555)
 
 
@@ -161,29 +163,42 @@ def cell_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int =
 
 
 def jaccard_links(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
-    """Pairs of places that span the connected sets: each set is compared with all that are not yet reached."""
+    """Pairs of places that span the connected sets: each set is compared with all that are not yet reached.
+
+    Shared shingles are counted over the lists of sets of each shingle or over
+    the sets not yet reached, whichever is shorter.
+    """
     top, bottom = similarity
     length = np.array([len(s) for s in sets], dtype=np.int64)
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if length.sum() else np.empty(0, dtype=np.int64)
-    first = np.concatenate([[0], np.cumsum(length)])
-    seen = np.zeros(int(flat.max(initial=-1)) + 1, dtype=bool)
-    own = [flat[a:b] for a, b in zip(first, first[1:])]
-    out, rest = [], np.arange(len(sets))
-    codes, size = flat, length
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32) if length.sum() else np.empty(0, dtype=np.int32)
+    cut = np.concatenate([[0], np.cumsum(length)])
+    kinds = int(flat.max(initial=-1)) + 1
+    of = np.repeat(np.arange(len(sets), dtype=np.int32), length)[np.argsort(flat, kind="stable")]  # the sets of each shingle
+    times = np.bincount(flat, minlength=kinds)
+    first = np.cumsum(times) - times
+    seen = np.zeros(kinds, dtype=bool)
+    out, rest, codes = [], np.arange(len(sets)), flat
     while len(rest):
-        queue, codes, rest, size = [int(rest[0])], codes[size[0] :], rest[1:], size[1:]
+        x, codes, rest = int(rest[0]), codes[length[rest[0]] :], rest[1:]
+        queue = [x]
         while queue and len(rest):
             x = queue.pop()
-            seen[own[x]] = True
-            total = np.concatenate([[0], np.cumsum(seen[codes])])
-            edge = np.concatenate([[0], np.cumsum(size)])
-            both = total[edge[1:]] - total[edge[:-1]]
-            seen[own[x]] = False
-            ok = both * (top + bottom) >= top * (size + len(own[x]))  # both / (all) >= top / bottom
+            own = flat[cut[x] : cut[x + 1]]
+            many = times[own]
+            if many.sum() < len(codes):
+                at = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                both = np.bincount(of[at], minlength=len(sets))[rest]
+            else:
+                seen[own] = True
+                total = np.concatenate([[0], np.cumsum(seen[codes], dtype=np.int32)])
+                edge = np.concatenate([[0], np.cumsum(length[rest])])
+                both = total[edge[1:]] - total[edge[:-1]]
+                seen[own] = False
+            ok = both * (top + bottom) >= top * (length[rest] + len(own))  # both / all >= top / bottom
             if ok.any():
                 out += [(x, int(y)) for y in rest[ok]]
                 queue += rest[ok].tolist()
-                codes, rest, size = codes[np.repeat(~ok, size)], rest[~ok], size[~ok]
+                codes, rest = codes[np.repeat(~ok, length[rest])], rest[~ok]
     return out
 
 
@@ -201,19 +216,17 @@ def row_key(df: DataFrame):
     return F.xxhash64(*(F.to_json(F.struct(c.alias("c"))) if has_map(f.dataType) else c for c, f in zip(at, df.schema.fields)))
 
 
-def marks(keys: DataFrame, bits: int = MARK_BITS) -> np.ndarray:
-    """A bitmap of 2**bits bits (4 MB) of the rows' keys (column key)."""
-    at = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("at"))
-    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, int(at & 63))").alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2**bits / 64 rows at most
-    out = np.zeros(1 << bits - 6, dtype=np.uint64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return out
+def with_mark(docs: DataFrame, key, keys: DataFrame, name: str, bits: int = MARK_BITS) -> DataFrame:
+    """``docs`` and a column ``name``: whether a bitmap holds the row's ``key``, true for all ``keys`` (column key) and for few other rows.
 
-
-def marked(bitmap: np.ndarray, key: np.ndarray, bits: int = MARK_BITS) -> np.ndarray:
-    at = key.view(np.uint64) >> np.uint64(64 - bits)
-    return bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
+    The bitmap goes out as 2**bits / 64 words at most, whatever the number of keys.
+    """
+    place = lambda k: F.shiftrightunsigned(k, 64 - bits)
+    word, of, held, at = private(docs, "word", "of", "bits", "at")
+    words = keys.select(place(F.col("key")).alias("at")).select(F.shiftright("at", 6).alias(of), F.expr("shiftleft(1L, int(at & 63))").alias("bit"))
+    words = words.groupBy(of).agg(F.bit_or("bit").alias(held))
+    out = docs.withColumn(at, place(key)).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(words), F.col(word) == F.col(of), "left")  # bounded by the bits
+    return out.withColumn(name, F.coalesce(F.expr(f"(shiftrightunsigned(`{held}`, int(`{at}` & 63)) & 1L) = 1L"), F.lit(False))).drop(word, of, held, at)
 
 
 def prints(docs: DataFrame) -> DataFrame:
@@ -226,7 +239,7 @@ def prints(docs: DataFrame) -> DataFrame:
         fp = np.array([majority(s) for s in sets], dtype=np.uint64).reshape(-1, LANES).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), *(pa.array(fp[:, k]) for k in range(LANES))], names=["doc_id", "key", "node", *lanes])
 
-    return map_text(docs.select("doc_id", row_key(docs).alias("key"), "text"), "text", run, "doc_id bigint, key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in lanes))
+    return map_text(docs.select("doc_id", row_key(docs).alias("key"), "text"), "text", run, "doc_id bigint, key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in lanes), PART)
 
 
 def proposed(nodes: DataFrame) -> DataFrame:
@@ -256,18 +269,14 @@ def proposed(nodes: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Links (u, v) of similarity ``SIMILARITY`` or more that span each group; ``members`` is (node, component, doc_id, key) with one row of ``docs`` per node."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(marks(members.select("key")))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         blobs = [pack_sorted(s) for s in shingle_sets(batch.column(2).to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "key", "set"])
 
-    def some(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(marked(held.value, batch.column(1).to_numpy())))
-
     rows = docs.select("doc_id", row_key(docs).alias("key"), "text")
-    few = map_text(rows.mapInArrow(some, rows.schema), "text", sets, "doc_id bigint, key bigint, set binary").dropDuplicates(["doc_id", "key"])
+    few = with_mark(rows, F.col("key"), members.select("key"), "maybe").where("maybe").select("doc_id", "key", "text")
+    few = map_text(few, "text", sets, "doc_id bigint, key bigint, set binary", PART).dropDuplicates(["doc_id", "key"])
     size = members.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("cuts"))
     members = members.withColumnsRenamed({"doc_id": "id", "key": "row"})
     found = few.join(members, few["doc_id"].eqNullSafe(members["id"]) & (few["key"] == members["row"])).select("node", "component", "set").join(size, "component")
@@ -313,21 +322,13 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.when(~F.col("best.none"), F.col("best.id"))) & (F.col("key") == F.col("best.key"))
     key, of, stay = private(docs, "key", "of", "stay")
     grouped = stored(grouped.groupBy(F.col("key").alias(of)).agg(F.max(stays).alias(stay)), "grouped")  # equal rows are one
-    held = docs.sparkSession.sparkContext.broadcast(marks(grouped.select(F.col(of).alias("key"))))
-    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())])
-
-    def rest(keep: bool):
-        def run(batches):
-            for batch in batches:
-                yield batch.filter(pa.array(marked(held.value, batch.column(batch.num_columns - 1).to_numpy()) == keep))
-
-        return docs.withColumn(key, row_key(docs)).mapInArrow(run, schema)
-
+    (some,) = private(docs.withColumns({key: F.lit(0), of: F.lit(0), stay: F.lit(0)}), "some")
+    keyed = with_mark(docs.withColumn(key, row_key(docs)), F.col(key), grouped.select(F.col(of).alias("key")), some)
     columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     # equal rows are of one group and become one before they are dealt; a row that only shares a bit of the map stays
-    maybe = rest(True).groupBy(key).agg(F.first(F.struct(*columns)).alias(stay + "row")).join(grouped, F.col(key) == F.col(of), "left")
+    maybe = keyed.where(some).groupBy(key).agg(F.first(F.struct(*columns)).alias(stay + "row")).join(grouped, F.col(key) == F.col(of), "left")
     maybe = maybe.where(F.coalesce(stay, F.lit(True))).select(*(F.col(stay + "row").getField(c).alias(c) for c in docs.columns))
-    return rest(False).drop(key).unionByName(maybe)
+    return keyed.where(~F.col(some)).select(*columns).unionByName(maybe)
 
 
 def split_join(rows: DataFrame, names: DataFrame, on: str) -> DataFrame:
