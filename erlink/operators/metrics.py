@@ -6,6 +6,8 @@ does not depend on the order of rows or partitions.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -230,21 +232,31 @@ def average_precision(rows: DataFrame, prob: str = "prob") -> DataFrame:
     return g.agg(F.try_divide(F.sum(term).cast("double"), F.max("tp") * F.lit(1e6)).alias("average_precision"))
 
 
-def bootstrap_ci(scores: DataFrame, column: str = "score", resamples: int = 500, seed: int = 42) -> DataFrame:
-    """One row: mean and its 95 % interval by Poisson bootstrap; each resample is a weighted sum, so scores stay where they are."""
+#: Chances of 0, 1, ... under a Poisson law of mean 1, summed up, in 2**32ths.
+POISSON = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(13)]
+
+
+def bootstrap_ci(scores: DataFrame, column: str = "score", resamples: int = 500, key: str = "s1_id") -> DataFrame:
+    """One row: mean and its 95 % interval by Poisson bootstrap; each resample is a weighted sum, so scores stay where they are.
+
+    A row's weight in a resample follows from a hash of its key, so the
+    interval doesn't depend on partitioning; scores are added in millionths.
+    """
     import pandas as pd
 
     def run(batches):
-        rng = np.random.default_rng([seed, __import__("pyspark").TaskContext.get().partitionId()])
-        w, s = np.zeros(resamples), np.zeros(resamples)
+        w, s = np.zeros(resamples, dtype=np.int64), np.zeros(resamples, dtype=np.int64)
+        at = np.arange(resamples, dtype=np.int64)[:, None]
         for b in batches:
-            x = b[column].to_numpy()
+            h, x = b["h"].to_numpy(np.int64), b["x"].to_numpy(np.int64)
             for k in range(0, len(x), 10_000):
-                weight = rng.poisson(1.0, (resamples, len(x[k : k + 10_000])))
+                u = (h[None, k : k + 10_000] * (2 * at + 1) + at * 2654435761) & 0xFFFFFFFF
+                weight = np.searchsorted(np.array(POISSON), u, side="right")
                 w += weight.sum(1)
                 s += weight @ x[k : k + 10_000]
         yield pd.DataFrame({"i": np.arange(resamples), "w": w, "s": s})
 
-    means = scores.select(column).mapInPandas(run, "i int, w double, s double").groupBy("i").agg((F.sum("s") / F.sum("w")).alias("m"))
+    rows = scores.select(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long").alias("h"), quantised(F.col(column)).alias("x"))
+    means = rows.mapInPandas(run, "i int, w bigint, s bigint").groupBy("i").agg((F.sum("s").cast("double") / F.sum("w").cast("double") / 1e6).alias("m"))
     interval = means.agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"))
-    return scores.agg(F.avg(column).alias("mean")).crossJoin(F.broadcast(interval))
+    return scores.agg(mean_of(F.col(column)).alias("mean")).crossJoin(F.broadcast(interval))

@@ -48,8 +48,8 @@ def training_pairs(pairs: DataFrame, truth: DataFrame, ratio: float = 4.0) -> Da
 
 
 def random_negatives(neg: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n negatives (all where there are fewer), drawn without replacement."""
-    return neg.orderBy(F.rand(seed)).limit(n)
+    """Exactly n negatives (all where there are fewer), those of smallest seeded hash, whatever the partitioning."""
+    return neg.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "s1_id", "cand_id")), "s1_id", "cand_id").limit(n)
 
 
 def grouped_split(pairs: DataFrame, share: float = 0.2, key: str = "s1_id") -> DataFrame:
@@ -85,4 +85,5 @@ def hard_negatives(s1: DataFrame, cands: DataFrame, truth: DataFrame, per_s1: in
 
 
 def text_sample(records: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    return records.orderBy(F.rand(seed)).limit(n)
+    """n texts (column text), those of smallest seeded hash."""
+    return records.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "text")), "text").limit(n)

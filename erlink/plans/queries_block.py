@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from erlink.operators import blocking, features, metrics, pairs
 from erlink.plans.registry import query
-from erlink.plans.roles import BLOCKED, CAPS, CUSTOMERS, PASSAGES, Customers, Passages, keys_sql
+from erlink.plans.roles import BLOCKED, CAPS, CUSTOMERS, HOSTS, Customers, Hosts, keys_sql
 
 
-class _Blocked(Passages):
+class _Blocked(Hosts):
     def __init__(self, spark, sf):
         super().__init__(spark, sf)
         self.idf = blocking.token_idf(self.s1, self.cands)
@@ -17,26 +17,18 @@ class _Blocked(Passages):
     def pairs(self):
         return blocking.candidates(self.s1_keys, self.cand_keys)
 
-    @property
-    def truth(self):
-        """Documents that hold an item: items are compared by the words they begin with, then whole."""
-        first = lambda c: F.substring(c, 1, 24)
-        i = self.items.select("item_id", F.col("text").alias("t"), F.explode(F.array(first(F.col("text")))).alias("head"))
-        # the items are the benchmark's, a small fixed set: its heads are looked up in each text
-        return self.docs.join(F.broadcast(i), self.docs["text"].contains(F.col("t"))).select(F.concat(F.lit("S1-"), F.col("item_id")).alias("s1_id"), F.concat(F.when(F.col("doc_id") % 2 == 0, "S2-").otherwise("S3-"), F.col("doc_id")).alias("cand_id"))
-
 
-@query(f"WITH {PASSAGES} SELECT token, df, CAST(floor(1e6 * idf + 0.5e0) AS BIGINT) AS idf FROM idf")
+@query(f"WITH {HOSTS} SELECT token, df, CAST(floor(1e6 * idf + 0.5e0) AS BIGINT) AS idf FROM idf")
 def q_token_idf(spark, sf):
     return _Blocked(spark, sf).idf.withColumn("idf", metrics.quantised(F.col("idf")))
 
 
-@query(f"WITH {PASSAGES},{keys_sql('cands')} SELECT entity_id, pass_id, key, CAST(block_score AS DOUBLE) AS block_score FROM cands_keys")
+@query(f"WITH {HOSTS},{keys_sql('cands')} SELECT entity_id, pass_id, key, CAST(block_score AS DOUBLE) AS block_score FROM cands_keys")
 def q_block_keys(spark, sf):
     return _Blocked(spark, sf).cand_keys.withColumn("block_score", F.col("block_score").cast("double"))
 
 
-@query(f"WITH {PASSAGES},{keys_sql('cands')} SELECT pass_id, key, count(*) AS n FROM cands_keys GROUP BY pass_id, key HAVING count(*) <= {CAPS}")
+@query(f"WITH {HOSTS},{keys_sql('cands')} SELECT pass_id, key, count(*) AS n FROM cands_keys GROUP BY pass_id, key HAVING count(*) <= {CAPS}")
 def q_block_caps(spark, sf):
     return blocking.valid_keys(_Blocked(spark, sf).cand_keys)
 
@@ -58,9 +50,9 @@ def q_candidates(spark, sf):
     return _Blocked(spark, sf).pairs.withColumn("block_score", F.col("block_score").cast("double"))
 
 
-@query(f"WITH {PASSAGES} SELECT entity_id, state_key || '|' || CASE WHEN length(coalesce(toks[1], '')) >= 4 THEN toks[1] ELSE substring(coalesce(toks[1], ''), 1, 3) END AS key FROM cands")
+@query(f"WITH {HOSTS} SELECT entity_id, state_key || '|' || CASE WHEN length(coalesce(toks[1], '')) >= 4 THEN toks[1] ELSE substring(coalesce(toks[1], ''), 1, 3) END AS key FROM cands")
 def q_bench_key(spark, sf):
-    c = Passages(spark, sf).cands
+    c = Hosts(spark, sf).cands
     return c.select("entity_id", blocking.bench_key(F.col("state_key"), F.col("name_norm")).alias("key"))
 
 
@@ -132,17 +124,22 @@ def q_country_ids(spark, sf):
     return pairs.ids_of_country(pairs.heldout_ids(c.pairs), c.countries, "nation_3")
 
 
-@query()
+@query(f"WITH {CUSTOMERS} SELECT s1_id, cand_id, CAST(0 AS INT) AS label FROM scored ANTI JOIN truth USING (s1_id, cand_id) ORDER BY md5('42|' || s1_id || '|' || cand_id), s1_id, cand_id LIMIT 500")
 def q_random_negatives(spark, sf):
     c = Customers(spark, sf)
     return pairs.random_negatives(pairs.negatives(c.pairs, c.truth), 500)
 
 
-@query()
+_BENCH = "state_key || '|' || CASE WHEN length(coalesce(toks[1], '')) >= 4 THEN toks[1] ELSE substring(coalesce(toks[1], ''), 1, 3) END"
+
+
+@query(f"""WITH {BLOCKED}, p AS (SELECT s1_id, cand_id, md5(s1_id || '|' || cand_id) AS m FROM (SELECT entity_id AS s1_id, {_BENCH} AS key FROM s1) JOIN (SELECT entity_id AS cand_id, {_BENCH} AS key FROM cands) USING (key) ANTI JOIN truth USING (s1_id, cand_id)),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY m, s1_id) AS rn FROM p) WHERE rn = 1)
+SELECT s1_id, cand_id FROM (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY m, cand_id) AS rn FROM once) WHERE rn <= 5""")
 def q_hard_negatives(spark, sf):
-    b = Passages(spark, sf)
+    b = Hosts(spark, sf)
     key = lambda r, n: r.select(F.col("entity_id").alias(n), blocking.bench_key(F.col("state_key"), F.col("name_norm")).alias("key"))
-    return pairs.hard_negatives(key(b.s1, "s1_id"), key(b.cands, "cand_id"), _Blocked(spark, sf).truth)
+    return pairs.hard_negatives(key(b.s1, "s1_id"), key(b.cands, "cand_id"), b.truth)
 
 
 @query(f"WITH {CUSTOMERS} SELECT s1_id, cand_id, count(*) OVER (PARTITION BY s1_id) AS s1_degree, count(*) OVER (PARTITION BY cand_id) AS cand_degree FROM candidates")
@@ -156,19 +153,22 @@ _NAME, _STREET = {"a": "l.name_tokens", "b": "r.name_tokens"}, {"a": "l.street_t
 _EQ = "CAST(CASE WHEN l.{c} = r.{c} AND l.{c} <> '' THEN 1 ELSE 0 END AS INT)"
 
 
-@query(f"""WITH {BLOCKED}, d AS (SELECT *, count(*) OVER (PARTITION BY s1_id) AS s1_degree, count(*) OVER (PARTITION BY cand_id) AS cand_degree FROM pairs)
-SELECT s1_id, cand_id, CAST(CASE WHEN l.name_norm = r.name_norm THEN 1 ELSE 0 END AS INT) AS name_exact, {_JAC.format(**_NAME)} AS name_jaccard, {_CON.format(**_NAME)} AS name_containment,
+NATIVE = f"""d AS (SELECT *, count(*) OVER (PARTITION BY s1_id) AS s1_degree, count(*) OVER (PARTITION BY cand_id) AS cand_degree FROM pairs),
+native AS (SELECT s1_id, cand_id, CAST(pass_id AS INT) AS pass_id, CAST(block_score AS DOUBLE) AS block_score, CAST(abs(length(l.name_norm) - length(r.name_norm)) AS INT) AS addr_len_diff, CAST(CASE WHEN l.name_norm = r.name_norm THEN 1 ELSE 0 END AS INT) AS name_exact, {_JAC.format(**_NAME)} AS name_jaccard, {_CON.format(**_NAME)} AS name_containment,
 CAST(CASE WHEN list_sort(list_distinct(l.name_tokens)) = list_sort(list_distinct(r.name_tokens)) AND len(l.name_tokens) > 0 THEN 1 ELSE 0 END AS INT) AS name_sorted_eq,
 CAST(abs(length(l.name_norm) - length(r.name_norm)) AS INT) AS name_len_diff, CAST(abs(len(l.toks) - len(r.toks)) AS INT) AS token_count_diff,
 CASE WHEN l.name_norm = '' OR r.name_norm = '' THEN -1e0 ELSE {_JAC.format(**_STREET)} END AS addr_jaccard, CASE WHEN l.name_norm = '' OR r.name_norm = '' THEN -1e0 ELSE {_CON.format(**_STREET)} END AS addr_containment,
 {_EQ.format(c='house_no')} AS house_match, {_JAC.format(**_STREET)} AS street_jaccard, {_EQ.format(c='postal')} AS postal_exact,
 CAST(CASE WHEN length(l.postal) >= 3 AND substring(l.postal, 1, 3) = substring(r.postal, 1, 3) THEN 1 ELSE 0 END AS INT) AS postal_prefix3, {_EQ.format(c='state_key')} AS state_match,
 CAST(l.landmark_flag AS INT) AS landmark, CAST(l.name_norm = '' AS INT) AS addr_missing, {_EQ.format(c='state_key')} AS same_country, CAST(is_s2 AS INT) AS is_s2, s1_degree, cand_degree
-FROM d JOIN s1 l ON l.entity_id = s1_id JOIN cands r ON r.entity_id = cand_id""")
+FROM d JOIN s1 l ON l.entity_id = s1_id JOIN cands r ON r.entity_id = cand_id)"""
+
+
+@query(f"WITH {BLOCKED}, {NATIVE} SELECT * FROM native")
 def q_features_native(spark, sf):
     b = _Blocked(spark, sf)
-    out = features.native_features(features.enrich(b.pairs, b.s1, b.cands))
-    names = "name_exact name_jaccard name_containment name_sorted_eq name_len_diff token_count_diff addr_jaccard addr_containment house_match street_jaccard postal_exact postal_prefix3 state_match landmark addr_missing same_country is_s2 s1_degree cand_degree"
+    out = features.native_features(features.enrich(b.pairs, b.s1, b.cands)).withColumns({"pass_id": F.col("pass_id").cast("int"), "block_score": F.col("block_score").cast("double")})
+    names = "pass_id block_score addr_len_diff name_exact name_jaccard name_containment name_sorted_eq name_len_diff token_count_diff addr_jaccard addr_containment house_match street_jaccard postal_exact postal_prefix3 state_match landmark addr_missing same_country is_s2 s1_degree cand_degree"
     return out.select("s1_id", "cand_id", *names.split())
 
 
@@ -213,12 +213,11 @@ def q_merge_cosine(spark, sf):
     return features.merge_cosine(c.pairs.withColumn("name_e5_cos", F.lit(0.0)), features.import_cosine(cos, names), names)
 
 
-@query(f"""WITH {PASSAGES}, r AS (SELECT (CASE WHEN doc_id % 2 = 0 THEN 'S2-' ELSE 'S3-' END) || doc_id AS entity_id, min(substring(text, 1, 64)) AS n, min(lang) AS a FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
+@query(f"""WITH {HOSTS}, r AS (SELECT (CASE WHEN page_id % 2 = 0 THEN 'S2-' ELSE 'S3-' END) || page_id AS entity_id, url AS n, lang AS a FROM pg)
 SELECT entity_id, coalesce(n, name_norm) AS name_raw, coalesce(a, name_norm) AS addr_raw, name_norm, name_norm AS name_roman, name_norm AS addr_norm FROM cands LEFT JOIN r USING (entity_id)""")
 def q_export_entities(spark, sf):
-    b = Passages(spark, sf)
-    prefix = F.when(F.col("doc_id") % 2 == 0, "S2-").otherwise("S3-")
-    raw = b.docs.where("doc_id % 3 <> 0").select(F.concat(prefix, F.col("doc_id")).alias("entity_id"), F.substring("text", 1, 64).alias("business_name"), F.col("lang").alias("business_address"))
+    b = Hosts(spark, sf)
+    raw = b.pages.select(F.concat(b.prefix, F.col("page_id")).alias("entity_id"), F.col("url").alias("business_name"), F.col("lang").alias("business_address"))
     return features.export_entities(raw, b.cands.withColumn("name_roman", F.col("name_norm")))
 
 

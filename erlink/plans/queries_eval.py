@@ -219,10 +219,16 @@ def q_avg_precision(spark, sf):
     return metrics.average_precision(_fractions(Customers(spark, sf)))
 
 
-@query()
+_WEIGHT = f"len(list_filter({metrics.POISSON}, lambda t: t <= ((h * (2 * i + 1) + i * 2654435761) & 4294967295)))"
+
+
+@query(f"""WITH {CUSTOMERS}, p AS (SELECT * FROM scored WHERE prob >= 900), c AS ({counts_sql('p')}), e AS (SELECT ('0x' || substring(md5(s1_id), 1, 8))::BIGINT AS h, {f_sql()} AS score FROM c),
+m AS (SELECT i, CAST(sum(n * CAST(floor(score * 1e6 + 0.5e0) AS BIGINT)) AS DOUBLE) / CAST(sum(n) AS DOUBLE) / 1e6 AS m FROM (SELECT i, score, {_WEIGHT} AS n FROM e CROSS JOIN (SELECT unnest(range(500)) AS i)) GROUP BY i)
+SELECT (SELECT {_MEAN} FROM e) AS mean, CAST(floor(1e6 * quantile_cont(m, 0.025) + 0.5e0) AS BIGINT) AS ci_low, CAST(floor(1e6 * quantile_cont(m, 0.975) + 0.5e0) AS BIGINT) AS ci_high FROM m""")
 def q_bootstrap_ci(spark, sf):
     c = Customers(spark, sf)
-    return metrics.bootstrap_ci(metrics.entity_scores(metrics.entity_counts(c.s1, c.truth, decide.apply_threshold(c.scored, 900))))
+    out = metrics.bootstrap_ci(metrics.entity_scores(metrics.entity_counts(c.s1, c.truth, decide.apply_threshold(c.scored, 900))))
+    return out.withColumns({n: metrics.quantised(F.col(n)) for n in ("ci_low", "ci_high")})
 
 
 # profiles and checks -----------------------------------------------------------------------------------
@@ -230,17 +236,18 @@ def q_bootstrap_ci(spark, sf):
 
 def _profiled(spark, sf):
     d = read(spark, sf, "documents")
-    return d.select(F.concat(F.lit("S2-"), F.col("doc_id") % 900).alias("entity_id"), F.substring("text", 1, 64).alias("business_name"), F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.concat(F.col("doc_id"), F.lit(" main st"))).alias("business_address"), F.col("lang").alias("country"))
+    return d.select(F.concat(F.lit("S2-"), F.col("doc_id") % 900).alias("entity_id"), F.col("text").alias("business_name"), F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.concat(F.col("doc_id"), F.lit(" main st"))).alias("business_address"), F.col("lang").alias("country"))
 
 
-_PROFILED = "p AS (SELECT 'S2-' || doc_id % 900 AS entity_id, substring(text, 1, 64) AS n, CASE WHEN doc_id % 9 = 0 THEN '' ELSE doc_id || ' main st' END AS a, lang AS country FROM documents)"
+_PROFILED = "p AS (SELECT 'S2-' || doc_id % 900 AS entity_id, text AS n, CASE WHEN doc_id % 9 = 0 THEN '' ELSE doc_id || ' main st' END AS a, lang AS country FROM documents)"
 
 
 @query(f"""WITH {_PROFILED} SELECT count(*) AS n_rows, count(DISTINCT entity_id) AS unique_ids, count(*) - count(DISTINCT entity_id) AS duplicate_ids, count(CASE WHEN trim(n) = '' THEN 1 END) AS empty_name, count(CASE WHEN trim(a) = '' THEN 1 END) AS empty_address,
 count(CASE WHEN trim(country) = '' THEN 1 END) AS empty_country, count(CASE WHEN regexp_matches(n, '\\?{{2,}}') OR regexp_matches(a, '\\?{{2,}}') THEN 1 END) AS question_marks, count(CASE WHEN regexp_matches(n, '[^\\x00-\\x7F]') THEN 1 END) AS non_ascii_name, count(CASE WHEN regexp_matches(a, '^[0-9]') THEN 1 END) AS address_digit,
-CAST(sum(length(n)) AS DOUBLE) / count(*) AS mean_name_length, CAST(sum(length(a)) AS DOUBLE) / count(*) AS mean_address_length, quantile_cont(length(n), 0.5) AS p50_name_length, quantile_cont(length(n), 0.95) AS p95_name_length, 'documents' AS file FROM p""")
+CAST(sum(length(n)) AS DOUBLE) / count(*) AS mean_name_length, CAST(sum(length(a)) AS DOUBLE) / count(*) AS mean_address_length, round(quantile_cont(length(n), 0.5), 3) AS p50_name_length, round(quantile_cont(length(n), 0.95), 3) AS p95_name_length, 'documents' AS file FROM p""")
 def q_profile(spark, sf):
-    return quality.profile_all({"documents": _profiled(spark, sf)})
+    out = quality.profile_all({"documents": _profiled(spark, sf)})
+    return out.withColumns({n: F.round(n, 3) for n in ("p50_name_length", "p95_name_length")})
 
 
 @query(f"WITH {_PROFILED} SELECT country, count(*) AS n FROM p GROUP BY country")

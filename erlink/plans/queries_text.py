@@ -13,7 +13,7 @@ _quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _CLEAN = r"trim(regexp_replace(regexp_replace({}, '[^\p{{L}}\p{{N}}\p{{M}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {_CLEAN.format('lower(substring(text, 1, 200))')} AS cleaned FROM documents")
+@query(f"SELECT doc_id, {_CLEAN.format('lower(text)')} AS cleaned FROM documents")
 def q_clean_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.clean_chars(F.lower("text")).alias("cleaned"))
 
@@ -23,13 +23,13 @@ def q_tokens(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.array_join(text.name_tokens(F.lower("p_name")), " ").alias("tokens"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split({_CLEAN.format('lower(substring(text, 1, 200))')}, ' '), lambda t: t <> ''))), ' ') AS tokens FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split({_CLEAN.format('lower(text)')}, ' '), lambda t: t <> ''))), ' ') AS tokens FROM documents")
 def q_idf_token_set(spark, sf):
     norm = text.clean_chars(F.lower("text"))
     return read(spark, sf, "documents").select("doc_id", F.array_join(text.idf_tokens(norm), " ").alias("tokens"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, regexp_replace(substring(text, 1, 100), '[^\p{L}]', '', 'g') AS s FROM documents),
+@query(r"""WITH l AS (SELECT doc_id, regexp_replace(text, '[^\p{L}]', '', 'g') AS s FROM documents),
 f AS (SELECT doc_id, s, regexp_matches(s, '[\x{0000}-\x{024F}]') AS la, regexp_matches(s, '[\x{0900}-\x{0D7F}]') AS ind, regexp_matches(s, '[^\x{0000}-\x{024F}\x{0900}-\x{0D7F}]') AS oth FROM l)
 SELECT doc_id, CASE WHEN s = '' THEN 'none' WHEN oth OR (la AND ind) THEN 'mixed' WHEN la THEN 'latin' ELSE 'indic' END AS script FROM f""")
 def q_script(spark, sf):

@@ -1,9 +1,9 @@
 """Record-linkage roles played by the driver tables, in Spark and as the same CTEs in SQL.
 
 ``customers``: left records are customers, candidates orders, truth the
-customers' own orders of status F, scores integer per mille.  ``passages``:
-left records are benchmark items, candidates documents, names their first 64
-characters.
+customers' own orders of status F, scores integer per mille.  ``hosts``: left
+records are the first page of each host, candidates all pages, names their
+whole addresses, truth the pages of the same host.
 """
 
 from __future__ import annotations
@@ -50,34 +50,47 @@ candidates AS (SELECT s1_id, cand_id, pass_id FROM scored WHERE prob >= 300),
 truth_lists AS (SELECT s1.s1_id AS source1_entity_id, coalesce(string_agg(cand_id, ',' ORDER BY cand_id), '') AS matched_entity_ids FROM s1 LEFT JOIN truth USING (s1_id) GROUP BY 1)"""
 
 
-def _records(df: DataFrame, entity, key: str, state) -> DataFrame:
-    norm = text.clean_chars(F.lower(F.substring("text", 1, 64)))
-    out = df.select(entity.alias("entity_id"), norm.alias("name_norm"), F.col(key).alias("k"), state.alias("state_key"))
+_SCHEME, _HOST, _LANG = "^[a-z]+://", "^[a-z]+://([^/?#]+)", "^[a-z]+://[^/]+/([a-z]{2})/"
+
+
+def _records(df: DataFrame, prefix) -> DataFrame:
+    norm = text.clean_chars(F.lower(F.regexp_replace("url", _SCHEME, "")))
+    out = df.select(F.concat(prefix, F.col("page_id")).alias("entity_id"), norm.alias("name_norm"), F.col("page_id").alias("k"), F.col("lang").alias("state_key"))
     return out.select(
         "entity_id", "name_norm", text.name_tokens(F.col("name_norm")).alias("name_tokens"), text.idf_tokens(F.col("name_norm")).alias("name_idf_tokens"), text.script_of(F.col("name_norm")).alias("name_script"),
-        (F.col("k") % 10).cast("string").alias("house_no"), (F.col("k") % 7).cast("string").alias("postal"), "state_key", F.slice(text.tokens(F.col("name_norm")), 1, 3).alias("street_tokens"),
+        (F.col("k") % 10).cast("string").alias("house_no"), F.lpad((F.col("k") % 50 * 1013).cast("string"), 5, "0").alias("postal"), "state_key", F.slice(text.tokens(F.col("name_norm")), 1, 3).alias("street_tokens"),
         F.col("name_norm").alias("addr_norm"), (F.col("name_norm") == "").alias("addr_raw_missing"), (F.col("k") % 4 == 0).alias("landmark_flag"), F.col("state_key").alias("country"),
     )
 
 
-class Passages:
+class Hosts:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.docs, self.items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-        prefix = F.when(F.col("doc_id") % 2 == 0, "S2-").otherwise("S3-")
-        self.s1 = _records(self.items, F.concat(F.lit("S1-"), F.col("item_id")), "item_id", F.lit("en"))
-        self.cands = _records(self.docs, F.concat(prefix, F.col("doc_id")), "doc_id", F.col("lang"))
+        pages = read(spark, sf_dir, "pages")
+        self.pages = pages.select("page_id", "url", F.regexp_extract("url", _HOST, 1).alias("host"), F.regexp_extract("url", _LANG, 1).alias("lang"))
+        self.prefix = F.when(F.col("page_id") % 2 == 0, "S2-").otherwise("S3-")
+        self.first = self.pages.groupBy("host").agg(F.min("page_id").alias("page_id"))
+        self.s1 = _records(self.pages.join(self.first.select("page_id"), "page_id", "left_semi"), F.lit("S1-"))
+        self.cands = _records(self.pages, self.prefix)
+
+    @property
+    def truth(self) -> DataFrame:
+        first = self.first.select("host", F.concat(F.lit("S1-"), F.col("page_id")).alias("s1_id"))
+        return self.pages.join(first, "host").select("s1_id", F.concat(self.prefix, F.col("page_id")).alias("cand_id"))
 
 
-def _records_sql(table: str, entity: str, key: str, state: str) -> str:
+def _records_sql(table: str, prefix: str) -> str:
     return f"""SELECT *, list_filter(string_split(name_norm, ' '), lambda t: length(t) > 1 AND t NOT IN ('the','and','of','for','at','in','on','a','an','to','co')) AS name_tokens,
   list_sort(list_distinct(toks)) AS name_idf_tokens, toks[1:3] AS street_tokens FROM (SELECT *, list_filter(string_split(name_norm, ' '), lambda t: t <> '') AS toks FROM (
-  SELECT {entity} AS entity_id, trim(regexp_replace(regexp_replace(lower(substring(text, 1, 64)), '[^\\p{{L}}\\p{{N}}\\p{{M}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name_norm,
-  CAST({key} % 10 AS VARCHAR) AS house_no, CAST({key} % 7 AS VARCHAR) AS postal, {state} AS state_key, {key} % 4 = 0 AS landmark_flag FROM {table}))"""
+  SELECT {prefix} || page_id AS entity_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(url, '{_SCHEME}', '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name_norm,
+  CAST(page_id % 10 AS VARCHAR) AS house_no, lpad(CAST(page_id % 50 * 1013 AS VARCHAR), 5, '0') AS postal, lang AS state_key, page_id % 4 = 0 AS landmark_flag FROM {table}))"""
 
 
-PASSAGES = f"""
-s1 AS ({_records_sql("benchmark", "'S1-' || item_id", "item_id", "'en'")}),
-cands AS ({_records_sql("documents", "(CASE WHEN doc_id % 2 = 0 THEN 'S2-' ELSE 'S3-' END) || doc_id", "doc_id", "lang")}),
+_PREFIX = "(CASE WHEN page_id % 2 = 0 THEN 'S2-' ELSE 'S3-' END)"
+HOSTS = f"""
+pg AS (SELECT page_id, url, regexp_extract(url, '{_HOST}', 1) AS host, regexp_extract(url, '{_LANG}', 1) AS lang FROM pages),
+leaders AS (SELECT host, min(page_id) AS page_id FROM pg GROUP BY host),
+s1 AS ({_records_sql("(SELECT * FROM pg SEMI JOIN leaders USING (page_id))", "'S1-'")}),
+cands AS ({_records_sql("pg", _PREFIX)}),
 bag AS (SELECT entity_id, name_idf_tokens FROM s1 UNION ALL SELECT entity_id, name_idf_tokens FROM cands),
 idf AS (SELECT token, count(DISTINCT entity_id) AS df, ln(CAST((SELECT count(*) FROM bag) AS DOUBLE) / count(DISTINCT entity_id)) AS idf FROM (SELECT entity_id, unnest(name_idf_tokens) AS token FROM bag) GROUP BY token)"""
 
@@ -103,9 +116,9 @@ def keys_sql(src: str) -> str:
 
 
 CAPS = "CASE pass_id WHEN 1 THEN 5000 WHEN 3 THEN 200 WHEN 4 THEN 2000 WHEN 5 THEN 1000 WHEN 6 THEN 50 WHEN 7 THEN 500 WHEN 8 THEN 300 WHEN 9 THEN 100 WHEN 10 THEN 30 ELSE 5000 END"
-BLOCKED = f"""{PASSAGES},{keys_sql("s1")},{keys_sql("cands")},
+BLOCKED = f"""{HOSTS},{keys_sql("s1")},{keys_sql("cands")},
 valid AS (SELECT pass_id, key, count(*) AS n FROM cands_keys GROUP BY pass_id, key HAVING count(*) <= {CAPS}),
 joined AS (SELECT s.entity_id AS s1_id, c.entity_id AS cand_id, s.pass_id, s.block_score FROM s1_keys s JOIN cands_keys c USING (pass_id, key) JOIN valid USING (pass_id, key)),
 dedup AS (SELECT s1_id, cand_id, min(pass_id) AS pass_id, max(block_score) AS block_score FROM joined GROUP BY s1_id, cand_id),
 pairs AS (SELECT s1_id, cand_id, pass_id, block_score, starts_with(cand_id, 'S2-') AS is_s2 FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY pass_id, block_score DESC, cand_id) AS rn FROM dedup) WHERE rn <= 200),
-truth AS (SELECT 'S1-' || item_id AS s1_id, (CASE WHEN doc_id % 2 = 0 THEN 'S2-' ELSE 'S3-' END) || doc_id AS cand_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))"""
+truth AS (SELECT 'S1-' || leaders.page_id AS s1_id, (CASE WHEN pg.page_id % 2 = 0 THEN 'S2-' ELSE 'S3-' END) || pg.page_id AS cand_id FROM pg JOIN leaders USING (host))"""

@@ -171,7 +171,7 @@ def test_oracle_audit_and_ranking(spark):
     assert metrics.auc(df).first()["auc"] == pytest.approx(want)
     ap = sum(sum(x >= p for x in pos) / sum(r[2] >= p for r in rows) for p in pos) / len(pos)
     assert metrics.average_precision(df).first()["average_precision"] == pytest.approx(ap, abs=1e-5)
-    ci = metrics.bootstrap_ci(spark.createDataFrame([(float(i % 2),) for i in range(400)], "score double")).first()
+    ci = metrics.bootstrap_ci(spark.createDataFrame([(i, float(i % 2)) for i in range(400)], "s1_id long, score double")).first()
     assert ci["ci_low"] < 0.5 < ci["ci_high"] and ci["ci_high"] - ci["ci_low"] < 0.2
 
 
