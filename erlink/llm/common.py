@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +54,15 @@ def n_buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tidy() -> None:
+    """Gives memory that this worker no longer uses back to the machine; allocators keep the peak of every earlier task otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts of a batch with at most ``limit`` text bytes (or a single row) each."""
     col = batch.column(batch.schema.get_field_index(text))
@@ -73,6 +83,7 @@ def map_text(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordB
         for batch in batches:
             for cut in slices(batch, text, limit):
                 yield fn(cut)
+        tidy()
 
     return df.mapInArrow(run, schema)
 

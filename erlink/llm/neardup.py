@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from erlink.llm.common import map_text, n_buckets, pack_sorted, private, stored, unpack_sorted
+from erlink.llm.common import map_text, n_buckets, pack_sorted, private, stored, tidy, unpack_sorted
 from erlink.llm.components import components, spanning
 from erlink.llm.textvec import NON_SPACE, inside_documents, mix, sequence_hashes, split_words, word_hashes
 
@@ -261,6 +261,7 @@ def proposed(nodes: DataFrame) -> DataFrame:
             key, node, *fp = (np.concatenate(c) for c in zip(*parts))
             u, v = cell_links(key, node, np.stack(fp, axis=1).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        tidy()
 
     dealt = nodes.mapInArrow(deal, ", ".join(f"{c} bigint" for c in names))
     return dealt.repartition(2 * n_buckets(spark), "cell").mapInArrow(links, "u bigint, v bigint")

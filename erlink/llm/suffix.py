@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erlink.llm.common import gathered, map_text, n_buckets, pack, pack_sorted, private, slices, table, unpack, unpack_sorted
+from erlink.llm.common import gathered, map_text, n_buckets, pack, pack_sorted, private, slices, table, tidy, unpack, unpack_sorted
 from erlink.llm.textvec import NON_SPACE, inside_documents, sequence_hashes, split_words, word_hashes
 
 WINDOW = 20
@@ -94,6 +94,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for part in slices(batch, "text", BATCH_BYTES):
                 yield _flow(list(_send(part, number, buckets, window)))
                 number += 1
+        tidy()
 
     def group(batches):
         parts = []
@@ -117,6 +118,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if (hit := flags[a:b]).any():
                 doc = unpack_sorted(r["doc"]).astype(np.int64)[x[hit]]
                 yield _flow([(r["bucket"], r["batch"], None, pack(doc), pack(start[a:b][hit]), None, None)])
+        tidy()
 
     def answer(batches):
         by: dict[int, list[dict]] = {}

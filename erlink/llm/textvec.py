@@ -28,10 +28,11 @@ ALNUM[0x80:] = True
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (shift, multiply, shift)."""
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+    x ^= x >> np.uint64(29)
+    return x
 
 
 #: Masks that keep the first 0..8 bytes of a little-endian chunk.
