@@ -40,16 +40,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erlink.llm.common import gathered, map_text, n_buckets, pack, pack_sorted, slices, stored, table, unpack, unpack_sorted
+from erlink.llm.common import gathered, map_text, n_buckets, pack, pack_sorted, slices, stored, table, tidy, unpack, unpack_sorted
 from erlink.llm.textvec import NON_SPACE, mix, split_words, word_hashes
 
 K = 5
 EPSILON = 0.01
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 #: Codes of a text's end and of the context before its first word; other codes are the hashes of words' bytes.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Entries that a partition counts at a time.
-PART = 600_000
+PART = 250_000
 _BASE, _SCORE = 1e8, 1e6  # sums of logarithms travel as integers of these units
 _FLOW = "kind int, bucket int, batch bigint, parts array<binary>"
 _DOCS, _PAIRS, _SUMS, _CONTEXTS, _UNSEEN, _COUNTS = range(6)
@@ -121,12 +121,20 @@ def _send(batch: pa.RecordBatch, number: int, buckets: int, heavy: np.ndarray):
             yield (_PAIRS, k, number, [pack_sorted(word[a:b]), pack_sorted(own), pack(local), pack(doc[a:b] << 1 | held[doc[a:b]]), pack(times[a:b])])
 
 
-def _reduced(key: np.ndarray, fields: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ascending distinct keys, sums of the fields' columns over each)."""
+def _reduced(key: np.ndarray, fields) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct keys, sums of the fields over each); a field at a time is put in order."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     first, _ = _runs(key)
-    return key[first], np.add.reduceat(fields[:, order], first, axis=1) if len(first) else fields
+    sums = [np.add.reduceat(f[order], first) if len(first) else f for f in fields]
+    return key[first], np.stack(sums)
+
+
+def _merged(one: tuple | None, two: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Two results of ``_reduced`` as one."""
+    if one is None:
+        return two
+    return _reduced(np.concatenate([one[0], two[0]]), (np.concatenate(x) for x in zip(one[1], two[1])))
 
 
 def _count_part(word, context, source, times, train, heavy: np.ndarray, heavy_count: np.ndarray):
@@ -161,12 +169,12 @@ def _count_part(word, context, source, times, train, heavy: np.ndarray, heavy_co
         *(times * (seen & (p_class == r)) for r in range(1, K + 1)),
         *(times * (~seen & (w_class == r)) for r in range(K + 2)),
     ]
-    sums = _reduced(source, np.stack(fields))
+    sums = _reduced(source, fields)
     # successors of each context, by class of the pair and of the word
     live = np.flatnonzero(pair_count > 0)
     r, c = pair_count[live], word_count[of_word[pair_first[live]]]
     numbers = [*(_class(r) == x for x in range(1, K + 2)), np.where(r > K, r, 0), *(_class(c) == x for x in range(1, K + 2)), np.where(c > K, c, 0)]
-    contexts = _reduced(context[pair_first[live]], np.stack(numbers).astype(np.int64))
+    contexts = _reduced(context[pair_first[live]], (x.astype(np.int64) for x in numbers))
     miss = np.flatnonzero(~seen)
     return stats, sums, contexts, (context[miss], source[miss], times[miss])
 
@@ -182,14 +190,21 @@ def _count(rows: list[tuple[int, list[bytes]]], bucket: int, buckets: int, heavy
     context = [unpack_sorted(p[1])[unpack(p[2]).astype(np.int64)] for _, p in rows]
     doc = [unpack(p[3]).astype(np.uint32) for _, p in rows]
     times = [unpack(p[4]).astype(np.int32) for _, p in rows]
-    found = []
+    for _, p in rows:
+        p.clear()  # the packed columns are read
+    stats, sums, numbers, unseen = 0, None, None, []
     for k in range(parts):
         of = lambda x: np.concatenate([a[c[k] : c[k + 1]] for a, c in zip(x, cuts)])  # noqa: E731, B023
         d = of(doc)
         batch = np.repeat(np.arange(len(rows), dtype=np.int64), [c[k + 1] - c[k] for c in cuts])
-        found.append(_count_part(of(word), of(context), batch << 32 | (d >> 1), of(times), (d & 1) == 0, heavy, heavy_count))
-    yield (_COUNTS, bucket, -1, [sum(f[0] for f in found).astype("<i8").tobytes()])
-    source, sums = _reduced(np.concatenate([f[1][0] for f in found]), np.concatenate([f[1][1] for f in found], axis=1))
+        found = _count_part(of(word), of(context), batch << 32 | (d >> 1), of(times), (d & 1) == 0, heavy, heavy_count)
+        stats = stats + found[0]
+        sums, numbers = _merged(sums, found[1]), _merged(numbers, found[2])
+        unseen.append(found[3])
+    del word, context, doc, times, of, found
+    tidy()
+    yield (_COUNTS, bucket, -1, [stats.astype("<i8").tobytes()])
+    source, sums = sums
     sums = np.rint(sums).astype(np.int64)
     sums[2] = sums[2] << 1 ^ sums[2] >> 63  # the one sum that may be negative
     cut = np.searchsorted(source, np.arange(len(rows) + 1) << 32)
@@ -197,17 +212,17 @@ def _count(rows: list[tuple[int, list[bytes]]], bucket: int, buckets: int, heavy
         s = slice(cut[k], cut[k + 1])
         if cut[k] < cut[k + 1]:
             yield (_SUMS, bucket, int(batches[k]), [pack_sorted(source[s] & 0xFFFFFFFF), *(pack(f[s].astype(np.uint64)) for f in sums)])
-    v, numbers = _reduced(np.concatenate([f[2][0] for f in found]), np.concatenate([f[2][1] for f in found], axis=1))
+    v, numbers = numbers
     to = _bucket(v, buckets)
     order = np.argsort(to, kind="stable")
-    v, numbers = v[order], numbers[:, order].astype(np.uint64)
     cut = np.searchsorted(to[order], np.arange(buckets + 1))
     for k in range(buckets):
         if cut[k] < cut[k + 1]:
-            s = slice(cut[k], cut[k + 1])
-            yield (_CONTEXTS, k, bucket, [pack_sorted(v[s]), *(pack(x[s]) for x in numbers)])
+            s = order[cut[k] : cut[k + 1]]
+            yield (_CONTEXTS, k, bucket, [pack_sorted(v[s]), *(pack(x[s].astype(np.uint64)) for x in numbers)])
+    del v, numbers
     # pairs that training hasn't seen, for the partitions of their contexts
-    context, source, times = (np.concatenate([f[3][i] for f in found]) for i in range(3))
+    context, source, times = (np.concatenate([f[i] for f in unseen]) for i in range(3))
     to = _bucket(context, buckets)
     order = np.lexsort((source, context, to))
     context, source, times = context[order], source[order], times[order]
@@ -336,6 +351,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text", BATCH_BYTES):
                 yield _flow(list(_send(part, number, buckets, heavy)))
                 number += 1
+                tidy()
 
     def count(batches):
         pairs = []
@@ -349,6 +365,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         if pairs:
             for row in _count(pairs, bucket, buckets, heavy, heavy_count):
                 yield _flow([row])
+        tidy()
 
     model = stored(gathered(docs.select("doc_id", "held_out", "text").mapInArrow(send, _FLOW), buckets).mapInArrow(count, _FLOW), "katz")
     total = np.zeros(2 + 2 * (K + 2) + 1, dtype=np.int64)
@@ -371,6 +388,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 rows.append((r["kind"], r["parts"]))
                 number_of = r["bucket"]
         yield from (_flow([x]) for x in _back_off(rows, d, number_of))
+        tidy()
 
     def finish(batches):
         by: dict[int, list] = {}
