@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erlink.llm.common import map_text, table
+from erlink.llm.common import map_text, table, tidy
 from erlink.llm.textvec import NON_SPACE, inside_documents, mix, sequence_hashes, split_words, word_hashes
 
 BITS = 18
@@ -186,7 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
     features = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
     del got, parts
-    return fit(offsets, features, y, bits)
+    model = fit(offsets, features, y, bits)
+    tidy()  # the driver goes on with other stages
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -51,7 +51,7 @@ CHUNK = 1024
 #: Unrelated texts in a cell, at most about.
 FILL = 64
 #: Bits of the bitmap of row keys.
-MARK_BITS = 24
+MARK_BITS = 22
 #: Text bytes that are cut into shingles at once.
 PART = 1 << 20
 _FIVE = np.uint64(0x5555555555555555)
