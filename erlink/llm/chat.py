@@ -6,23 +6,30 @@ consecutive outputs compared: what a turn adds is its span.  Inside a span the
 text's place is found by rendering the turn with two different probe texts.
 
 A template rewrites history where an output is not the one before it and what
-the new turn added.  Every prefix of up to ``WHOLE`` turns is rendered whole.  Of
-longer ones, a turn's span comes from prefixes that begin ``WINDOW`` turns back,
-and the whole prefix is rendered whenever the conversation has grown by half
-and at its end, and compared with the pieces so far by length and digest: the
-work stays linear in the conversation, and no rewriting that lasts to the end
-goes unseen, however far back it reaches.  Where history is rewritten, spans come from
-renderings of the whole list with one turn changed at a time.
+the new turn added.  Every prefix is rendered whole: a black box tells nothing
+about what it does with more turns, so the work is quadratic in a conversation.
+
+A template whose ``streams`` is true has a method ``pieces`` that takes any
+iterable of turns and yields the same string in pieces, and promises that what a
+turn adds rests on at most ``WINDOW`` turns before it.  Then prefixes of more than
+``WHOLE`` turns begin ``WINDOW`` turns back, and all turns are streamed whenever
+the conversation has grown by half and at its end, and compared with the pieces
+so far by length and digest: the work is linear.  Where they differ the promise
+is broken, and every prefix is rendered whole after all; a breach that is over
+before the next comparison goes unseen and leaves no trace in the last output.
+Where history is rewritten, spans come from renderings of the whole list with
+one turn changed at a time.
 
 ``MarkedTemplate`` marks turns by control strings and escapes those inside
 texts so that reading back restores them: backslashes are doubled and one is
 put after the first character of each control string.
 
 Rows are dealt by conversation, sorted by turn and streamed.  Memory holds the
-texts of one conversation up to ``HELD`` characters, since a black box must be
-given all turns at once; of a longer one (no model reads as much) whole prefixes
-begin where the last ``HELD`` characters began, and a template that rewrites its
-history raises ValueError.
+texts of one conversation up to ``HELD`` characters, turns before that go to a
+temporary file, and streams read them back from there.  A black box must be
+given all turns at once: beyond ``HELD`` they are collected in the file and the
+conversation is then rendered in memory.  ``HELD`` decides where turns lie and
+never what comes out.
 
 Defined cases: null text and null role count as empty; ties of a turn number
 are ordered by role, then text; repeated rows are turns of their own; a null
@@ -33,12 +40,18 @@ very long texts are rendered whole; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
+import os
+import pickle
 import re
-from collections.abc import Callable
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import zip_longest
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,19 +62,30 @@ Template = Callable[[list[Turn]], str]
 WHOLE = 32
 WINDOW = 4
 HELD = 32_000_000
+BLOCK = 4_000_000
 _PROBES = ("\x01", "\x02")
 
 
 class MarkedTemplate:
     """``<|im_start|>role, newline, text, <|im_end|>, newline`` for each turn."""
 
+    streams = True
     _control = re.compile(r"<\||</?s>|\[/?INST\]|<</?SYS>>")
     _piece = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
     _role_out = {"\\": "\\\\", "\n": "\\n", "<": "\\l"}
     _role_in = {"\\": "\\", "n": "\n", "l": "<"}
 
+    def __init_subclass__(cls, **kw):
+        """A subclass that renders otherwise is a black box unless it has pieces of its own, too."""
+        super().__init_subclass__(**kw)
+        if "__call__" in vars(cls) and "pieces" not in vars(cls):
+            cls.streams = False
+
     def __call__(self, turns: list[Turn]) -> str:
-        return "".join(f"<|im_start|>{self.escape_role(r)}\n{self.escape(t)}<|im_end|>\n" for r, t in turns)
+        return "".join(self.pieces(turns))
+
+    def pieces(self, turns: Iterable[Turn]) -> Iterator[str]:
+        return (f"<|im_start|>{self.escape_role(r)}\n{self.escape(t)}<|im_end|>\n" for r, t in turns)
 
     def escape(self, text: str) -> str:
         return self._control.sub(lambda m: m[0][0] + "\\" + m[0][1:], text.replace("\\", "\\\\"))
@@ -89,9 +113,11 @@ class Span:
 
 def _common(a: str, b: str) -> int:
     """Length of the common prefix."""
-    if a == b:
-        return len(a)
-    return next(i for i, (x, y) in enumerate(zip_longest(a, b)) if x != y)
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
 
 
 def _text_place(render: Callable[[str], str], whole: str, base: int) -> tuple[int, int]:
@@ -101,65 +127,116 @@ def _text_place(render: Callable[[str], str], whole: str, base: int) -> tuple[in
     return begin, len(whole) - (len(a) - begin - 1)
 
 
-def _added(template: Template, before: list[Turn], turn: Turn) -> tuple[str | None, int, int]:
-    """What ``turn`` adds to the rendering of ``before`` and the text's place in it; None where history is rewritten."""
-    old, new = template(before) if before else "", template([*before, turn])
-    if not new.startswith(old):
-        return None, 0, 0
-    begin, end = _text_place(lambda t: template([*before, (turn[0], t)]), new, len(old))
-    return new[len(old) :], begin - len(old), end - len(old)
+class NeedsWhole(ValueError):
+    """A conversation beyond ``HELD`` that only its whole rendering can tell; ``read`` collects all of it then."""
+
+
+class Past:
+    """Turns in order: full blocks of ``BLOCK`` characters in a temporary file, the rest in memory."""
+
+    def __init__(self):
+        self.file, self.rest, self.held = None, [], 0
+
+    def __bool__(self) -> bool:
+        return self.file is not None or bool(self.rest)
+
+    def extend(self, turns: Iterable[Turn]) -> None:
+        for turn in turns:
+            self.rest.append(turn)
+            self.held += len(turn[1])
+            if self.held > BLOCK:
+                self._write()
+
+    def _write(self) -> None:
+        if self.file is None:
+            at = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+            self.file = tempfile.TemporaryFile(dir=at if os.path.isdir(at) else None)
+        block = zstandard.ZstdCompressor(level=1).compress(pickle.dumps(self.rest))
+        self.file.seek(0, os.SEEK_END)
+        self.file.write(len(block).to_bytes(8, "little") + block)
+        self.rest, self.held = [], 0
+
+    def __iter__(self) -> Iterator[Turn]:
+        at = 0
+        while self.file is not None:
+            self.file.seek(at)
+            if not (head := self.file.read(8)):
+                break
+            block = self.file.read(int.from_bytes(head, "little"))
+            at += 8 + len(block)
+            yield from pickle.loads(zstandard.ZstdDecompressor().decompress(block))
+        yield from self.rest
 
 
 class Prefixes:
     """Renders a conversation turn by turn; ``rewrites`` is set once an output contradicts an earlier one."""
 
-    def __init__(self, template: Template):
+    def __init__(self, template: Template, held: float | None = None, whole: bool = False):
         self.template = template
-        self.turns: list[Turn] = []
-        self.rewrites = self.cut = False
-        self.size = self.held = 0
+        self.streams = not whole and getattr(template, "streams", False)
+        self.most = HELD if held is None else held
+        self.past, self.turns = Past(), []
+        self.rewrites = self.windowed = False
+        self.last = ""
+        self.n = self.size = self.held = 0
         self.digest = hashlib.sha256()
         self.check = WHOLE
 
     def add(self, turn: Turn) -> tuple[str, int, int] | None:
         """The turn's piece and the text's place in it; None once history is known to be rewritten."""
-        found = None
-        if not self.rewrites:
-            piece, a, b = _added(self.template, self.turns if len(self.turns) <= WHOLE else self.turns[-WINDOW:], turn)
-            if piece is None:
-                self.rewrites = True
-            else:
-                found = piece, a, b
-                self.size += len(piece)
-                self.digest.update(piece.encode("utf-8", "surrogatepass"))
+        found = None if self.rewrites else self._added(turn)
+        if found is None:
+            self.rewrites, self.last = True, ""
+        else:
+            self.size += len(found[0])
+            self.digest.update(found[0].encode("utf-8", "surrogatepass"))
         self.turns.append(turn)
+        self.n += 1
         self.held += len(turn[1])
-        if len(self.turns) > self.check:
+        if self.n > self.check:
             self.verify()
-        if self.held > HELD and len(self.turns) > WINDOW:
+        if self.held > self.most and len(self.turns) > WINDOW:
             self._forget()
         return found
 
+    def _added(self, turn: Turn) -> tuple[str, int, int] | None:
+        self.windowed = self.streams and (self.n > WHOLE or bool(self.past))
+        before = self.turns[-WINDOW:] if self.windowed else self.turns
+        old, new = self.template(before) if self.windowed else self.last, self.template([*before, turn])
+        if not new.startswith(old):
+            return None
+        begin, end = _text_place(lambda t: self.template([*before, (turn[0], t)]), new, len(old))
+        self.last = "" if self.windowed else new
+        return new[len(old) :], begin - len(old), end - len(old)
+
     def verify(self) -> bool:
-        """Compares the whole rendering with the pieces; says whether history is rewritten."""
-        if not self.rewrites:
-            whole = self.template(self.turns) if self.turns else ""
-            self.rewrites = len(whole) != self.size or hashlib.sha256(whole.encode("utf-8", "surrogatepass")).digest() != self.digest.digest()
-        self.check = len(self.turns) * 3 // 2
+        """Compares pieces that windows gave with the whole stream; says whether they differ or history is rewritten."""
+        if self.windowed and not self.rewrites:
+            size, digest = 0, hashlib.sha256()
+            for piece in self.template.pieces(chain(self.past, self.turns)):
+                size += len(piece)
+                digest.update(piece.encode("utf-8", "surrogatepass"))
+            self.rewrites = size != self.size or digest.digest() != self.digest.digest()
+        self.check = self.n * 3 // 2
         return self.rewrites
 
     def _forget(self) -> None:
-        if self.verify():
-            raise ValueError("a template that rewrites history needs the whole conversation, and this one is too long to hold")
-        self.cut, self.turns = True, self.turns[-WINDOW:]
-        whole = self.template(self.turns)
-        self.size, self.digest = len(whole), hashlib.sha256(whole.encode("utf-8", "surrogatepass"))
-        self.held, self.check = sum(len(t) for _, t in self.turns), WHOLE
-
-
-def render(template: Template, turns: list[Turn]) -> tuple[str, list[Span], bool]:
-    """(formatted, spans, rewrites) of a conversation."""
-    prefixes, out, spans, at = Prefixes(template), [], [], 0
+        if self.rewrites or not self.streams:
+            raise NeedsWhole("only the whole rendering of this conversation tells its turns, and it is too long for bounded memory")
+        self.past.extend(self.turns[:-WINDOW])
+        self.turns, self.last = self.turns[-WINDOW:], ""
+        self.held = sum(len(t) for _, t in self.turns)
+
+    def collected(self) -> Past:
+        """All turns so far; nothing of them stays here."""
+        self.past.extend(self.turns)
+        self.turns, self.last = [], ""
+        return self.past
+
+
+def render(template: Template, turns: list[Turn], whole: bool = False) -> tuple[str, list[Span], bool]:
+    """(formatted, spans, rewrites) of a conversation held in memory; ``whole``: the template's promise is not relied on."""
+    prefixes, out, spans, at = Prefixes(template, math.inf, whole), [], [], 0
     for turn in turns:
         if (found := prefixes.add(turn)) is None:
             break
@@ -169,13 +246,15 @@ def render(template: Template, turns: list[Turn]) -> tuple[str, list[Span], bool
         at += len(piece)
     if not prefixes.verify():
         return "".join(out), spans, False
-    whole, spans = template(turns), []
+    if prefixes.windowed:
+        return render(template, turns, True)
+    text, spans = template(turns), []
     for i, (role, _) in enumerate(turns):
         a, b = (template([*turns[:i], (role, p), *turns[i + 1 :]]) for p in _PROBES)
         begin = _common(a, b)
-        end = len(whole) - (len(a) - begin - 1)
+        end = len(text) - (len(a) - begin - 1)
         spans.append(Span(begin, begin, end, end) if a != b else Span(-1, -1, -1, -1))  # a text that the template leaves out
-    return whole, spans, True
+    return text, spans, True
 
 
 class _Reading:
@@ -197,8 +276,8 @@ class _Reading:
         self.formatted_chars += len(piece)
         for role, text in self.template.parse(piece):
             self._turn(role, text)
-            if role == "assistant":
-                self._masked(piece[a:b])
+        if turn[0] == "assistant":
+            self._masked(piece[a:b])
 
     def _turn(self, role: str, text: str) -> None:
         self.n_turns += 1
@@ -210,18 +289,41 @@ class _Reading:
         self.loss_chars += len(text)
 
     def row(self) -> tuple:
-        if self.prefixes.verify():  # read everything back from the whole rendering instead
-            if self.prefixes.cut:
-                raise ValueError("a template that rewrites history needs the whole conversation, and this one is too long to hold")
-            self._clear()
-            whole, spans, _ = render(self.template, self.prefixes.turns)
-            self.formatted_chars = len(whole)
-            for role, text in self.template.parse(whole):
-                self._turn(role, text)
-            for (role, _), span in zip(self.prefixes.turns, spans):
-                if role == "assistant" and span.start >= 0:
-                    self._masked(whole[span.text_start : span.text_end])
-        return self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, self.prefixes.rewrites
+        if self.prefixes.verify():
+            if self.prefixes.past:
+                raise NeedsWhole("the pieces of this conversation are not its whole rendering, and it is too long for bounded memory")
+            return self.whole(self.prefixes.turns)
+        return self._row(False)
+
+    def whole(self, turns: list[Turn]) -> tuple:
+        """Everything read back from the whole rendering instead."""
+        self._clear()
+        whole, spans, rewrites = render(self.template, turns, True)
+        self.formatted_chars = len(whole)
+        for role, text in self.template.parse(whole):
+            self._turn(role, text)
+        for (role, _), span in zip(turns, spans):
+            if role == "assistant" and span.start >= 0:
+                self._masked(whole[span.text_start : span.text_end])
+        return self._row(rewrites)
+
+    def _row(self, rewrites: bool) -> tuple:
+        return self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, rewrites
+
+
+def read(rows: Iterable[tuple], template: MarkedTemplate) -> Iterator[tuple]:
+    """The row of each conversation; rows are (conv_id, role, text), one conversation after the other, in order of turns."""
+    for conv, turns in groupby(rows, itemgetter(0)):
+        reading = _Reading(conv, template)
+        try:
+            for _, role, text in turns:
+                reading.add((role, text))
+            row = reading.row()
+        except NeedsWhole:
+            past = reading.prefixes.collected()
+            past.extend((role, text) for _, role, text in turns)
+            row = reading.whole(list(past))
+        yield row
 
 
 _SCHEMA = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, rewrites boolean"
@@ -235,19 +337,12 @@ def format_conversations(rows: DataFrame, template: MarkedTemplate | None = None
     dealt = rows.repartition(n_buckets(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):
-        now, done = None, []
-        for batch in batches:
-            for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if now is None or now.conv_id != conv:
-                    if now is not None:
-                        done.append(now.row())
-                    now = _Reading(conv, template)
-                now.add((role, text))
+        done = []
+        for row in read((row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)))), template):
+            done.append(row)
             if len(done) >= 5000:
                 yield _rows(done)
                 done = []
-        if now is not None:
-            done.append(now.row())
         if done:
             yield _rows(done)
 
